@@ -5,14 +5,6 @@ from __future__ import annotations
 SPACES = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
-OP1 = """
-with d as (select doc_id, strlen(coalesce(text, ''))::bigint + 1 as size, {crc}::bigint as text_crc32 from documents),
-s as (select *, sum(size) over w - size as start, sum(size) over () as total, row_number() over w as n from d
-      window w as (order by doc_id nulls first, size, text_crc32 rows unbounded preceding)),
-t as (select *, ((8 * (2 * start + size)) // (2 * total))::int as shard from s)
-select doc_id, size, text_crc32, 'bytes' as law, shard, (n - min(n) over (partition by shard))::bigint as slot, null::int as grown_shard from t
-"""
-
 OP9_MEASURES = rf"""
 w as (select doc_id, text, {WORDS} as words from documents_in),
 l as (select doc_id, text, words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, {SPACES}) <> '') as lines,
@@ -61,4 +53,44 @@ with documents_in as (select * from documents), {OP2_HITS}
 select doc_id, n_words, n_hit, len(ids)::bigint as n_items, sha256(array_to_string(ids, ',')) as items_sha256, n_hit > 0 and 20 * n_hit >= n_words as contaminated from j
 """
 
-ORACLE = {"op2_decontamination": OP2, "op9_quality_rules": OP9}
+OP3 = rf"""
+with w as (select row_number() over () as r, doc_id, {WORDS} as words from documents),
+win as (select r, doc_id, i, hash(array_to_string(words[i:i + 49], ' ')) as h, array_to_string(words[i:i + 49], ' ') as gram
+        from (select r, doc_id, words, unnest(range(1, len(words) - 48)) as i from w where len(words) >= 50)),
+rep as (select gram, min(doc_id) as least from win group by gram having min(doc_id) < max(doc_id)),
+cov as (select distinct r, j from (select r, unnest(range(i, i + 50)) as j from win join rep using (gram) where doc_id > least)),
+gone as (select r, list(j) as js from cov group by r)
+select doc_id, len(words)::bigint as n_words, coalesce(len(js), 0)::bigint as n_removed,
+       sha256(array_to_string(case when js is null then words else list_filter(words, lambda x, k: not list_contains(js, k)) end, ' ')) as kept_sha256
+from w left join gone using (r)
+"""
+
+LINE_ROWS = f"""
+ln as (select row_number() over () as r, *, string_split(coalesce(text, ''), chr(10)) as lines from documents_in),
+ky as (select r, list_transform(lines, lambda x: translate(trim(x, {SPACES}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as keys from ln),
+fr as (select coalesce(list(k), []) as ks from (select k from (select distinct r, unnest(keys) as k from ky) where k <> '' group by k having count(*) >= 10)),
+ka as (select ln.*, list_filter(list_zip(lines, keys), lambda z: not list_contains(ks, z[2])) as kept from ln join ky using (r), fr)
+"""
+
+OP5 = f"""
+with documents_in as (select * from documents), {LINE_ROWS}
+select doc_id, len(lines)::bigint as n_lines, (len(lines) - len(kept))::bigint as n_dropped,
+       sha256(array_to_string(list_transform(kept, lambda z: z[1]), chr(10))) as kept_sha256 from ka
+"""
+
+OP7 = rf"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') as words from documents),
+s as (select doc_id, case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')]
+      else list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i]||' '||words[i+1]||' '||words[i+2])) end as grams from w),
+g as (select doc_id, len(grams) as n, unnest(grams) as gram from s),
+p as (select a.doc_id as x, b.doc_id as y, any_value(a.n) as m, any_value(b.n) as n, count(*) as k
+      from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by a.doc_id, b.doc_id),
+e as (select x, y from p where 100 * k >= 85 * (m + n - k)),
+b as (select x, y from e union all select y, x from e),
+reach as (select doc_id as node, doc_id as seen from s union select r.node, b.y from reach r join b on r.seen = b.x)
+select s.doc_id, len(grams)::bigint as n_shingles, c as component_id, s.doc_id = c as kept
+from s join (select node, min(seen) as c from reach group by node) on s.doc_id = node
+"""
+
+ORACLE = {"op3_substring_dedup": OP3, "op5_line_dedup": OP5, "op7_near_dedup": OP7, "op2_decontamination": OP2, "op9_quality_rules": OP9}

@@ -53,19 +53,20 @@ def _repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(windows, positions))
 
 
-def measurements(docs: DataFrame) -> DataFrame:
-    """doc_id and the raw counts that the rules read."""
+def measurements(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the carried columns and the raw counts that the rules read."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     measured = docs.select(
         "doc_id",
+        *carry,
         let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
         F.length(F.translate(text, SPACE_CHARS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.length(text) - F.length(F.translate(text, "0123456789", ""))).cast("long").alias("n_digits"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
     )
-    return measured.select("doc_id", "w.*", "word_chars", "n_symbols", "n_digits", "l.*")
+    return measured.select("doc_id", *carry, "w.*", "word_chars", "n_symbols", "n_digits", "l.*")
 
 
 @dataclass(frozen=True)
@@ -105,9 +106,9 @@ BASE = Policy("base", ("few_words", "repeated_windows"))
 DEFAULT = Policy("2", tuple(r.name for r in RULES))
 
 
-def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, ``failures`` (bit ``b`` set: the rule with that bit failed) and the measurements."""
-    measured = measurements(docs)
+def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the carried columns, ``failures`` (bit ``b`` set: the rule with that bit failed) and the measurements."""
+    measured = measurements(docs, carry)
     bits = F.lit(0).cast("long")
     for rule in rules:
         bits = bits.bitwiseOR(F.when(rule.fails(), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
@@ -120,6 +121,12 @@ def verdict(policy: Policy, failures: Column | None = None) -> Column:
     return failures.bitwiseAND(F.lit(policy.mask).cast("long")) == 0
 
 
+def passing(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """The rows of ``docs``, all columns, whose document passes ``policy``."""
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
+    return ledger(whole, carry=("__row",)).filter(verdict(policy)).select("__row.*")
+
+
 def compare(rows: DataFrame, old: Policy, new: Policy) -> DataFrame:
     """Documents kept by both, by one only and by neither, from the ledger alone."""
     a, b = verdict(old), verdict(new)
