@@ -82,7 +82,7 @@ def repeated_cells(docs: DataFrame, window: int, gram: int) -> DataFrame:
 def _bitmaps(cells: DataFrame) -> list[np.ndarray]:
     """A bitmap for each row of the sketch, its cells folded into at most 2**MAX_BITS bits."""
     cells = staged(cells, "sketch")
-    bits = min(MAX_BITS, max(16, (16 * max(1, cells.count())).bit_length()))
+    bits = max(16, min(MAX_BITS, (16 * max(1, cells.count())).bit_length()))
     return gathered(cells.select("row", F.col("cell").bitwiseAND(F.lit((1 << bits) - 1)).alias("bit")), ROWS, bits)
 
 
