@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: One white-space character, inside and outside a class.
-S_IN = r"\s\x1c-\x1f"
+#: White space, spelled out: ranges are matched faster than Unicode classes. Inside and outside a class.
+S_IN = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 S = f"[{S_IN}]"
 #: A word character; ``\w`` alone leaves out numbers such as superscripts.
 W = r"[\w\p{No}]"
@@ -40,6 +41,11 @@ def has(text: Column, pattern: str, flags: str = "Ud") -> Column:
     return F.regexp_like(text, flagged(pattern, flags))
 
 
+def count_alone(text: Column, letters: str) -> Column:
+    """How often one of ``letters`` stands as a word of its own. The letter is looked for before its borders."""
+    return count(text, rf"[{letters}](?<![\w\p{{No}}][{letters}]){B1}", "U")
+
+
 def find_all(text: Column, pattern: str, group: int = 0, flags: str = "Udm") -> Column:
     return F.regexp_extract_all(text, flagged(pattern, flags), F.lit(group))
 
@@ -56,11 +62,11 @@ def swap(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return sub(text, rf"\A{S}+|{S}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def rstrip(text: Column) -> Column:
-    return sub(text, rf"{S}+\z", "")
+    return F.rtrim(text, F.lit(SPACES))
 
 
 def lines(text: Column) -> Column:
@@ -76,11 +82,11 @@ def each_line(text: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, f"(?U){S}+", -1), lambda w: w != "")
+    return F.filter(F.split(text, f"{S}+", -1), lambda w: w != "")
 
 
 def blank(text: Column) -> Column:
-    return ~has(text, f"[^{S_IN}]")
+    return strip(text) == ""
 
 
 _CASED = r"[\p{IsUppercase}\p{IsLowercase}\p{Lt}]"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vellumine.functions import rx
 
@@ -41,7 +42,7 @@ ENTITIES = (
 BULLETS = "•·▪▫◦‣⁃"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode NFC, which Spark has no function for."""
     return texts.str.normalize("NFC")
