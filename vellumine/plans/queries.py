@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellumine.functions import html, rx
 from vellumine.operators import assemble, clean, convert, editor, metrics
 from vellumine.plans import pipeline, registry, report
-from vellumine.sources.files import table
+from vellumine.sources.files import spread, table
 
 QUERIES: dict = {}
 
@@ -18,6 +18,10 @@ def query(f):
     return f
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"))
+
+
 def _digest(df: DataFrame, key: str, text: Column) -> DataFrame:
     return df.select(key, text.alias("t")).select(key, F.md5("t").alias("digest"), F.length("t").cast("long").alias("n"))
 
@@ -31,14 +35,14 @@ def _r(c: Column | str) -> Column:
 
 @query
 def quality_scores(spark: SparkSession, d: str) -> DataFrame:
-    scored = metrics.score_texts(table(spark, d, "documents"))
+    scored = metrics.score_texts(documents(spark, d))
     return scored.select("doc_id", *[_r(m.name).alias(m.name) for m in metrics.METRICS], _r("overall_score").alias("overall_score"), "grade")
 
 
 @query
 def readability(spark: SparkSession, d: str) -> DataFrame:
     parts = rx.let(rx.words(F.col("text")), lambda w: metrics.readability_parts(F.col("text"), w))
-    docs = table(spark, d, "documents").select("doc_id", F.inline(F.array(parts)))
+    docs = documents(spark, d).select("doc_id", F.inline(F.array(parts)))
     ints = [F.col(c).cast("long").alias(c) for c in ("sentences", "words", "syllables", "characters")]
     return docs.select("doc_id", *ints, _r("flesch").alias("flesch"), _r("ari").alias("ari"), _r("score").alias("readability"))
 
@@ -46,38 +50,38 @@ def readability(spark: SparkSession, d: str) -> DataFrame:
 @query
 def structure_parts(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", metrics.header_score(t).alias("headers"), metrics.list_score(t).alias("lists"), metrics.paragraph_score(t).alias("paragraphs"), metrics.table_score(t).alias("tables"))
+    return documents(spark, d).select("doc_id", metrics.header_score(t).alias("headers"), metrics.list_score(t).alias("lists"), metrics.paragraph_score(t).alias("paragraphs"), metrics.table_score(t).alias("tables"))
 
 
 @query
 def formatting_parts(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", _r(metrics.syntax_score(t)).alias("syntax"), metrics.consistency_score(t).alias("consistency"), metrics.artifact_count(t).cast("long").alias("artifacts"), metrics.artifact_score(t).alias("artifact_score"))
+    return documents(spark, d).select("doc_id", _r(metrics.syntax_score(t)).alias("syntax"), metrics.consistency_score(t).alias("consistency"), metrics.artifact_count(t).cast("long").alias("artifacts"), metrics.artifact_score(t).alias("artifact_score"))
 
 
 @query
 def error_parts(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     parts = rx.let(rx.words(t), lambda w: F.struct(metrics.broken_word_count(w).cast("long").alias("broken_words"), _r(metrics.broken_word_score(w)).alias("broken_score"), _r(metrics.ocr_score(t, w)).alias("ocr_score")))
-    return table(spark, d, "documents").select("doc_id", F.inline(F.array(parts)), metrics.invalid_character_count(t).cast("long").alias("invalid_characters"), metrics.ocr_error_count(t).cast("long").alias("ocr_errors"))
+    return documents(spark, d).select("doc_id", F.inline(F.array(parts)), metrics.invalid_character_count(t).cast("long").alias("invalid_characters"), metrics.ocr_error_count(t).cast("long").alias("ocr_errors"))
 
 
 @query
 def quality_by_language(spark: SparkSession, d: str) -> DataFrame:
-    rolled = pipeline.corpus_rollup(metrics.score_texts(table(spark, d, "documents")), "lang")
+    rolled = pipeline.corpus_rollup(metrics.score_texts(documents(spark, d)), "lang")
     return rolled.select("lang", "n", *[_r(c).alias(c) for c in ("mean_score", "least_score", "most_score")], "grade_a")
 
 
 @query
 def best_document_by_source(spark: SparkSession, d: str) -> DataFrame:
-    scored = metrics.score_texts(table(spark, d, "documents")).withColumn("overall_score", _r("overall_score"))
+    scored = metrics.score_texts(documents(spark, d)).withColumn("overall_score", _r("overall_score"))
     top = F.max_by("doc_id", F.struct(F.col("overall_score"), -F.col("doc_id")))
     return scored.groupBy("source").agg(top.alias("doc_id"), F.max("overall_score").alias("overall_score"))
 
 
 @query
 def score_by_label(spark: SparkSession, d: str) -> DataFrame:
-    scored = metrics.score_texts(table(spark, d, "documents")).select("doc_id", "overall_score")
+    scored = metrics.score_texts(documents(spark, d)).select("doc_id", "overall_score")
     return scored.join(table(spark, d, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n"), _r(F.avg("overall_score")).alias("mean_score"))
 
 
@@ -91,7 +95,7 @@ def markdown_elements(spark: SparkSession, d: str) -> DataFrame:
 def custom_metric(spark: SparkSession, d: str) -> DataFrame:
     """A metric of one's own joins the weighted mean."""
     own = (*metrics.METRICS, metrics.Metric("lexical_variety", 0.5, lambda t, w: F.size(F.array_distinct(w)) / F.size(w)))
-    scored = metrics.score_texts(table(spark, d, "documents"), metrics=own)
+    scored = metrics.score_texts(documents(spark, d), metrics=own)
     return scored.select("doc_id", _r("lexical_variety").alias("lexical_variety"), _r("overall_score").alias("overall_score"))
 
 
@@ -100,7 +104,7 @@ def custom_metric(spark: SparkSession, d: str) -> DataFrame:
 
 def _cleaned(name: str, step, source: str = "documents", key: str = "doc_id", column: str = "text"):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _digest(table(spark, d, source), key, step(F.col(column)))
+        return _digest(spread(table(spark, d, source)), key, step(F.col(column)))
 
     run.__name__ = name
     QUERIES[name] = run
@@ -160,20 +164,20 @@ def small_registry() -> registry.Registry:
 def pipeline_fan_out(spark: SparkSession, d: str) -> DataFrame:
     """Combinations, mean lengths and element counts of the full cross product."""
     r = registry.default_registry()
-    done = pipeline.to_markdown(pipeline.clean(pipeline.extract(table(spark, d, "documents"), r), r), r)
+    done = pipeline.to_markdown(pipeline.clean(pipeline.extract(documents(spark, d), r), r), r)
     return done.groupBy("extractor", "cleaner", "converter", "status").agg(F.count("*").alias("n"), F.sum("output_length").alias("output_length"), F.sum(F.col("markdown_elements")["headers"]).alias("headers"))
 
 
 @query
 def best_combinations(spark: SparkSession, d: str) -> DataFrame:
-    quality = pipeline.process(table(spark, d, "documents"), small_registry()).withColumn("overall_score", _r("overall_score"))
+    quality = pipeline.process(documents(spark, d), small_registry()).withColumn("overall_score", _r("overall_score"))
     return pipeline.best(quality, "doc_id").withColumn("best_score", _r("best_score"))
 
 
 @query
 def extractor_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Recommendations from scores and given times: a time is a column, never a clock."""
-    docs = table(spark, d, "documents")
+    docs = documents(spark, d)
     quality = pipeline.process(docs, small_registry()).withColumn("overall_score", _r("overall_score"))
     times = quality.select("doc_id", "extractor").distinct().withColumn("total_time", F.when(F.col("extractor") == "plain", F.col("doc_id") % 12).otherwise(F.col("doc_id") % 7).cast("double"))
     advised = pipeline.recommendations(pipeline.comparison(quality, times))
@@ -182,19 +186,19 @@ def extractor_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def batch_counts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = documents(spark, d)
     return pipeline.batch_summary(docs, pipeline.process(docs, small_registry(), converter="PassThrough"))
 
 
 @query
 def unrouted_documents(spark: SparkSession, d: str) -> DataFrame:
     suffix = F.when(F.col("doc_id") % 5 == 0, F.lit(".bin")).otherwise(F.lit(".TXT"))
-    return pipeline.unrouted(table(spark, d, "documents"), small_registry(), suffix)
+    return pipeline.unrouted(documents(spark, d), small_registry(), suffix)
 
 
 @query
 def quality_reports(spark: SparkSession, d: str) -> DataFrame:
-    return report.quality_json(pipeline.process(table(spark, d, "documents"), small_registry()))
+    return report.quality_json(pipeline.process(documents(spark, d), small_registry()))
 
 
 @query
@@ -204,13 +208,13 @@ def processor_list(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def previews(spark: SparkSession, d: str) -> DataFrame:
-    return _digest(table(spark, d, "documents"), "doc_id", pipeline.preview(F.col("text"), 1000))
+    return _digest(documents(spark, d), "doc_id", pipeline.preview(F.col("text"), 1000))
 
 
 @query
 def file_names(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat_ws("/ ", "lang", "source", F.left("text", F.lit(20)))
-    return table(spark, d, "documents").select("doc_id", report.sanitise(name).alias("sanitised"), report.safe_file(name).alias("safe"), report.stage_file(F.lit(2), F.col("lang"), F.array("source", F.lit("a b")), F.lit(".md"), F.col("doc_id") % 2 == 0).alias("stage_file"))
+    return documents(spark, d).select("doc_id", report.sanitise(name).alias("sanitised"), report.safe_file(name).alias("safe"), report.stage_file(F.lit(2), F.col("lang"), F.array("source", F.lit("a b")), F.lit(".md"), F.col("doc_id") % 2 == 0).alias("stage_file"))
 
 
 # -- nested literals ------------------------------------------------------
