@@ -76,16 +76,15 @@ def phrase_hits(index: DataFrame, items: DataFrame, n_positions: int) -> DataFra
     tokens = index.filter("term_id >= 0")
     counts = tokens.groupBy("term_id").agg(F.count("*").alias("n"))
     ranked = items.join(counts, "term_id").select("sequence", "ipos", "term_id", "need", "length", "n")
-    # a window that has a term without postings can't occur
-    starts = items.filter("ipos <= length - need").select("sequence", F.col("ipos").alias("start"), F.col("need").alias("span"))
-    order = Window.partitionBy("sequence", "start").orderBy("n", "ipos")
+    # each word with the windows that it is in: ``need`` of them at most, however long the item
+    starts = F.sequence(F.greatest(F.lit(0), F.col("ipos") - F.col("need") + 1), F.least(F.col("ipos"), F.col("length") - F.col("need")))
+    window = Window.partitionBy("sequence", "start")
     inside = (
-        starts.join(ranked, "sequence")
-        .filter("ipos >= start and ipos < start + span")
-        .withColumn("rank", F.row_number().over(order))
-        .withColumn("found", F.count("*").over(Window.partitionBy("sequence", "start")))
+        ranked.withColumn("start", F.explode(starts))
+        .withColumn("rank", F.row_number().over(window.orderBy("n", "ipos")))
+        .withColumn("found", F.count("*").over(window))  # a window that has a term without postings can't occur
     )
-    anchors = inside.filter(F.col("found") == F.col("span")).filter(F.col("rank") <= RAREST).select("sequence", "ipos", "term_id", F.least("need", F.lit(RAREST)).alias("agree")).distinct()
+    anchors = inside.filter(F.col("found") == F.col("need")).filter(F.col("rank") <= RAREST).select("sequence", "ipos", "term_id", F.least("need", F.lit(RAREST)).alias("agree")).distinct()
     anchors = staged(anchors, "anchors")
     diagonals = (
         tokens.join(_small(anchors, n_positions, 96), "term_id")

@@ -6,6 +6,8 @@ Only a local master, as in tests, may fall back to a folder of its own.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,9 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="vellumine-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    own = tempfile.mkdtemp(prefix="vellumine-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
+    return f"file://{own}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
