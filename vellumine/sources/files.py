@@ -52,7 +52,7 @@ def scan(spark: SparkSession, directory: str, patterns: tuple[str, ...] = PATTER
 
 def texts(files: DataFrame) -> DataFrame:
     """Files whose content is text, decoded as UTF-8 with replacement characters for what is not."""
-    return files.select(F.xxhash64("path").alias("doc_id"), "path", "file_type", F.decode("content", "UTF-8").alias("text"))
+    return files.select(F.xxhash64("path").alias("doc_id"), "path", "file_type", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def read_with(files: DataFrame, reader: Callable[[bytes], str]) -> DataFrame:
