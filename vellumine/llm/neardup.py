@@ -228,7 +228,7 @@ def _confirm(rows: DataFrame, n: int, percent: int, *keys: str) -> DataFrame:
 
 def confirmed_components(docs: DataFrame, clusters: DataFrame, n: int, percent: int, block: int = BLOCK) -> DataFrame:
     """(node, component) after links are confirmed on full sets within ``clusters`` (node, component)."""
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
+    sizes = staged(clusters.groupBy("component").agg(F.count("*").alias("members")), "cluster-sizes")  # written: a large cluster's rows can be split in the join
     dealt = clusters.join(sizes, "component").select(
         "node", F.col("component").alias("cluster"), F.ceil(F.col("members") / block).cast("int").alias("blocks"), F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / block)).cast("int").alias("block")
     )
@@ -250,10 +250,10 @@ def confirmed_components(docs: DataFrame, clusters: DataFrame, n: int, percent:
     # documents of large clusters outside the cluster's largest component meet all blocks
     labelled = big.join(labels, "node", "left").select("node", "cluster", "blocks", "block", F.coalesce("component", "node").alias("component"))
     counts = labelled.groupBy("cluster", "component").agg(F.count("*").alias("k"))
-    most = counts.groupBy("cluster").agg(F.max(F.struct("k", "component")).alias("top")).select(F.col("cluster").alias("c"), F.col("top.component").alias("top"))
+    most = staged(counts.groupBy("cluster").agg(F.max(F.struct("k", "component")).alias("top")).select(F.col("cluster").alias("c"), F.col("top.component").alias("top")), "largest")
     apart = labelled.join(most, labelled["cluster"] == most["c"]).withColumn("out", F.col("component") != F.col("top"))
     apart = staged(apart.select("node", "cluster", "blocks", "block", "out"), "apart")
-    left = apart.filter("out").groupBy("cluster").agg(F.count("*").alias("left")).select(F.col("cluster").alias("c"), F.greatest(F.lit(1), F.ceil(F.col("left") / block)).cast("int").alias("lots"))
+    left = staged(apart.filter("out").groupBy("cluster").agg(F.count("*").alias("left")).select(F.col("cluster").alias("c"), F.greatest(F.lit(1), F.ceil(F.col("left") / block)).cast("int").alias("lots")), "left")
     if not left.head(1):
         return labels
     lot = F.pmod(F.xxhash64(F.col("node") + 2), F.col("lots")).cast("int")
