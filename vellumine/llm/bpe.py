@@ -16,8 +16,12 @@ so repeated rows get equal results; columns other than those named are ignored.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -25,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vellumine.llm.memo import Memo
 
-#: Pieces kept by each worker, in each of two generations.
-CACHE = 150_000
+#: Pieces kept by each worker, in each of two generations; pairs of tokens kept.
+CACHE, PAIRS = 150_000, 400_000
 
 
 class MergeTable:
@@ -34,11 +38,15 @@ class MergeTable:
 
     def __init__(self, ranks: dict):
         self.rank = ranks
-        self.tails = {t[i:] for t in ranks for i in range(len(t))}  # ends of tokens: what no token ends in stops a search
         self.made: dict = {}
         self._parts: dict = {}
         self.pairs: dict = {}
 
+    @cached_property
+    def tails(self) -> set:
+        """Ends of tokens: what no token ends in stops a search."""
+        return {t[i:] for t in self.rank for i in range(len(t))}
+
     def merge(self, text, down_to: int = 1) -> list:
         """Plain BPE: the pair of lowest rank merges first, leftmost first, until ``down_to`` are left."""
         parts = [text[i : i + 1] for i in range(len(text))]
@@ -82,12 +90,12 @@ class MergeTable:
         key = (a, b)
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 400_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            found = self.pairs[key] = self._border_stays(a, b)
+            found = self.pairs[key] = self.border_stays(a, b)
         return found
 
-    def _border_stays(self, a, b) -> bool:
+    def border_stays(self, a, b) -> bool:
         limit = float("inf")
         while True:
             if self.rank.get(a + b, limit) < limit:
@@ -135,6 +143,31 @@ class PrefixTable:
         return out[::-1]
 
 
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """``findall`` of ``pattern``; texts of code points below 256 take the same pattern with its classes spelled out.
+
+    The standard library matches ranges faster than a Unicode-aware matcher matches properties; both
+    see the same classes, as the ranges are what the properties hold below 256.
+    """
+    whole = regex.compile(pattern).findall
+    low = [chr(c) for c in range(256)]
+    ranges = {p: "".join(re.escape(c) for c in low if regex.fullmatch(p, c)) for p in (r"\p{L}", r"\p{N}", r"\s")}
+    out, inside, at = "", False, 0
+    while at < len(pattern):
+        token = regex.match(r"\\p\{\w+\}|\\.|.", pattern[at:], regex.S)[0]
+        at += len(token)
+        if token in ranges:
+            token = ranges[token] if inside else f"[{ranges[token]}]"
+        elif token == r"\S" and not inside:
+            token = f"[^{ranges[r'\s']}]"
+        elif len(token) > 1 and token[1] in "pPwWdDbBS":
+            return whole  # a class that isn't spelled out here
+        inside = token == "[" or (inside and token != "]")
+        out += token
+    narrow, beyond = re.compile(out).findall, re.compile("[^\x00-\xff]").search
+    return lambda text: whole(text) if beyond(text) else narrow(text)
+
+
 class BytePairs:
     """A rank file: byte strings in base64 and their ranks, which are also the ids."""
 
@@ -142,22 +175,55 @@ class BytePairs:
         self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
         self.bytes = {i: t for t, i in self.ids.items()}
         self.table = MergeTable(self.ids)
-        self.split = regex.compile(pattern).findall
-        self.memo = Memo(self.encode_piece, CACHE)
-
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
+        self.split, self.pattern = splitter(pattern), pattern
+        self.ends = ahocorasick.Automaton()  # tells the tokens that end at each byte, longest first
+        for t, i in self.ids.items():
+            self.ends.add_word(t.decode("latin-1"), (len(t), i))
+        self.ends.make_automaton()
+        self.made: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.memo = Memo(self.packed, CACHE)
+
+    def follows(self, key: int) -> bool:
+        """Whether the token in the low half of ``key`` may follow the one in the high half, or begin a piece (high half 0)."""
+        before, i = key >> 32, key & 0xFFFFFFFF
+        made = self.made.get(i)
+        if made is None:
+            made = self.made[i] = self.table.parts(self.bytes[i]) is not None
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        known = self.pairs[key] = made and (not before or self.table.border_stays(self.bytes[before - 1], self.bytes[i]))
+        return known
+
+    def encode_piece(self, piece: str) -> list[int]:
         raw = piece.encode()
-        own = self.ids.get(raw)
-        if own is not None and (len(raw) == 1 or self.table.parts(raw) is not None):
-            return (own,)
-        return tuple(self.ids[t] for t in PrefixTable(self.table, raw).tokens())
+        last = [0] * (len(raw) + 1)  # of each prefix: its last token's id plus one
+        pairs = self.pairs
+        for end, (n, i) in self.ends.iter(raw.decode("latin-1")):
+            if last[end + 1]:
+                continue
+            key = last[end + 1 - n] << 32 | i
+            known = pairs.get(key)
+            if known if known is not None else self.follows(key):
+                last[end + 1] = i + 1
+        out, at = [], len(raw)
+        while at:
+            out.append(last[at] - 1)
+            at -= len(self.bytes[last[at] - 1])
+        return out[::-1]
+
+    def packed(self, piece: str) -> bytes:
+        return array("i", self.encode_piece(piece)).tobytes()
+
+    def encode_packed(self, text: str) -> bytes:
+        """Ids as 32-bit integers in a row."""
+        return b"".join(map(self.memo.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        memo = self.memo
-        for piece in self.split(text):
-            out += memo[piece]
-        return out
+        return np.frombuffer(self.encode_packed(text), np.int32).tolist()
+
+    def encode_pieces(self, pieces: list[str]) -> list[int]:
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), np.int32).tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -168,6 +234,7 @@ class Draft:
 
     def __init__(self, pairs: BytePairs, text: str = ""):
         self.pairs, self.pieces = pairs, []
+        self.pattern = pairs.pattern
         self.open = PrefixTable(pairs.table, b"")
         self.append(text)
 
@@ -207,7 +274,7 @@ class Draft:
             old_ends[len(rest) - place] = j + 1
         safe = len(rest) - (end - at)  # characters after the edit
         out, done = [], 0
-        for match in regex.finditer(self.pairs.split.__self__.pattern, fresh):
+        for match in regex.finditer(self.pattern, fresh):
             out.append(match[0])
             done = match.end()
             left = len(fresh) - done
@@ -218,7 +285,7 @@ class Draft:
         self._reopen()
 
     def ids(self) -> list[int]:
-        out = [i for piece in self.pieces[:-1] for i in self.pairs.memo[piece]]
+        out = self.pairs.encode_pieces(self.pieces[:-1])
         return out + [self.pairs.ids[t] for t in self.open.tokens()]
 
 
@@ -246,13 +313,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, carry: tuple[str,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _pairs(held)
         for batch in batches:
-            flat, ends = [], [0]
             text = batch.column(batch.num_columns - 1)
-            for at in range(0, batch.num_rows, 256):
-                for t in text[at : at + 256].to_pylist():
-                    flat.append(np.array(pairs.encode(t or ""), np.int32))
-                    ends.append(ends[-1] + len(flat[-1]))
-            ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
+            packed = [pairs.encode_packed(t or "") for at in range(0, batch.num_rows, 256) for t in text[at : at + 256].to_pylist()]
+            ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(carry))), ids], [*carry, "ids"])
 
     kept = docs.select(*carry)
@@ -265,9 +329,12 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     held = _shared(encoded.sparkSession, path, pattern)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = _pairs(held)
+        raw = held.value[0]
+        token = {int(b): base64.b64decode(a) for a, b in map(bytes.split, raw.splitlines()) if a}.__getitem__
         for batch in batches:
-            out = [pairs.decode(x.values.to_pylist()) if x.is_valid else b"" for x in batch.column("ids")]
+            lists = batch.column("ids").fill_null([]) if batch.column("ids").null_count else batch.column("ids")
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            out = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
