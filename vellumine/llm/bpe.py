@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vellumine.llm.memo import Memo
 
 #: Pieces kept by each worker, in each of two generations; pairs of tokens kept.
-CACHE, PAIRS = 150_000, 400_000
+CACHE, PAIRS = 100_000, 200_000
 
 
 class MergeTable:
