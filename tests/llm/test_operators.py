@@ -428,6 +428,36 @@ def test_lm_prefers_what_it_has_seen(spark):
     assert abs(got[101].base_score - got[100].base_score) < 1e-9
 
 
+def quantised_lm(rows):
+    """Sorted (doc_id, score) from exact counts of all training words and pairs, quantised."""
+    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2
+    toks = [[None, *split("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), None] for _, t in rows]
+    train = [w for (i, _), w in zip(rows, toks, strict=True) if not held(i)]
+    one, two = Counter(x for w in train for x in w[1:]), Counter(x for w in train for x in zip(w[:-1], w[1:], strict=True))
+    n, v = sum(one.values()), len(one)
+    q = lambda c: lm.STEP ** (math.floor(math.log(c) / math.log(lm.STEP) + 1e-9) + 0.5) if c else 0
+
+    def p(b, t):
+        alone = (q(one[t]) + 1) / (n + v + 1)
+        return lm.MIX * min(q(two[b, t]) / q(one[b]), 1) + (1 - lm.MIX) * alone if one[b] else alone
+
+    return sorted(((i, sum(math.log10(p(b, t)) for b, t in zip(w[:-1], w[1:], strict=True))) for (i, _), w in zip(rows, toks, strict=True)), key=repr)
+
+
+@pytest.mark.parametrize("floor", [lm.FLOOR, 2e-3])
+@pytest.mark.parametrize("bits", [lm.FILTER_BITS, 0])
+def test_lm_scores_from_every_word_and_pair(docs, rows, monkeypatch, bits, floor):
+    """Whatever is broadcast, the score has all n-grams; only the filter may take an n-gram for a more frequent one."""
+    monkeypatch.setattr(lm, "FILTER_BITS", bits)
+    got, want = by_row(lm.scores(docs, floor), "doc_id", "score"), quantised_lm(rows)
+    by_id = lambda found: sorted(found, key=lambda r: (repr(r[0]), r[1]))
+    off = np.array([g[1] - w[1] for g, w in zip(by_id(got), by_id(want), strict=True)])
+    if not bits:
+        assert np.abs(off).max() < 1e-6
+    tokens = sum(len(split(t)) + 1 for _, t in rows)
+    assert np.abs(off).sum() < 0.05 * tokens
+
+
 # -- 9 ---------------------------------------------------------------------
 
 

@@ -1,15 +1,16 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-Counts cover all training documents. Words are counted exactly by a shuffle of pre-aggregated
-(hash, count) rows. N-grams whose relative frequency is ``FLOOR`` or more enter the filter, so at
-most 1 / FLOOR words and as many pairs do, at any corpus size; pairs need both words above the floor,
-as a pair is no more frequent than its words. An n-gram whose count lies in the j-th power step above
-the floor sets the bits of levels 1 to j; a reader probes level after level until one is missing.
-The filter is broadcast; its size follows from the floor. Probabilities interpolate the pair
-estimate with the smoothed word estimate.
-
-The base score needs exact counts of every word: the frequent ones (again at most 1 / FLOOR) are
-broadcast, occurrences of all others are joined with the exact table and summed by document.
+Counts cover all training documents: every word and every pair of adjacent tokens counts, however
+rare, at any corpus size. Both are counted exactly by shuffles of pre-aggregated (hash, count) rows.
+A count in the j-th power step of ``STEP`` is quantised to that step's geometric middle.
+Probabilities interpolate the pair estimate with the smoothed word estimate.
+
+Where the levels of all n-grams fit a filter of ``2**FILTER_BITS`` bits, the filter is broadcast: an
+n-gram sets the bits of levels 1 to j, a reader probes level after level until one is missing. Beyond
+that, n-grams of relative frequency ``FLOOR`` or more (at most 1 / FLOOR words and as many pairs) are
+broadcast as exact tables, and occurrences of all others are joined with the counts by key and summed
+by document. A document's score is a sum of word terms and of pair terms, so neither join needs
+the other. The base score always takes the exact counts of words in that way.
 
 Tokens are words outside ``[\\x20\\x09-\\x0D]``, A-Z lower-cased, then one end token. Edge cases: a null
 or empty text has the end token alone; a null doc_id counts as the empty string for the fold; an
@@ -33,8 +34,10 @@ from vellumine.llm.bitmaps import gathered, has
 from vellumine.llm.scratch import staged
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
-#: Least relative frequency of words and pairs that the model keeps.
+#: Least relative frequency of words and pairs that are broadcast as exact tables; rarer ones are joined.
 FLOOR = 2.0**-22
+#: The largest filter that is broadcast, as a power of two: 8 MB.
+FILTER_BITS = 26
 STEP, PROBES, BITS_PER_PROBE = 1.5, 3, 4
 #: The share of the pair estimate where the word before is known.
 MIX = 0.7
@@ -75,21 +78,29 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def pair_counts(docs: DataFrame, frequent) -> DataFrame:
-    """(w, c) of adjacent tokens in training documents, both in the broadcast ``frequent`` (sorted)."""
+    """(w, c, before, token, rare_before, rare_token) of all adjacent tokens in training documents.
+
+    ``before`` and ``token`` are the words' training counts if in the broadcast ``frequent``; a word
+    outside it is named in ``rare_before`` or ``rare_token`` instead.
+    """
+    names = ["before", "token", "rare_before", "rare_token"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent.value[0]
+        known, counts = frequent.value
         for batch in batches:
-            found = []
-            for _, _, token, _ in _tokens(batch.column("text")):
-                ok = _find(known, token) >= 0
-                ok &= np.append(True, ok[:-1])
-                found.append(_pair(np.append(END, token[:-1])[ok], token[ok]))
+            found = [token for _, _, token, _ in _tokens(batch.column("text"))]
             if found:
-                w, c = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c)], ["w", "c"])
+                token = np.concatenate(found)  # each row ends with END, the word before the next row's first
+                before = np.append(END, token[:-1])
+                w, at, c = np.unique(_pair(before, token), return_index=True, return_counts=True)
+                words = [before[at], token[at]]
+                where = [_find(known, x) for x in words]
+                exact = [pa.array(counts[np.maximum(k, 0)] if len(counts) else np.zeros(len(k), np.int64), mask=k < 0) for k in where]
+                rare = [pa.array(x.view(np.int64), mask=k >= 0) for x, k in zip(words, where, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c), *exact, *rare], ["w", "c", *names])
 
-    return docs.filter(~F.col("held_out")).select("text").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    found = docs.filter(~F.col("held_out")).select("text").mapInArrow(count, "w long, c long, before long, token long, rare_before long, rare_token long")
+    return found.groupBy("w").agg(F.sum("c").alias("c"), *(F.max(k).alias(k) for k in names))
 
 
 def _find(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -137,13 +148,28 @@ class LogFrequencyFilter:
         return np.where(level > 0, self.floor[order] * STEP ** (level - 0.5), 0.0)
 
 
+def _level(count: Column, floor: float = 1.0) -> Column:
+    return (1 + F.floor(F.log(F.greatest(count / floor, F.lit(1.0))) / math.log(STEP) + 1e-9)).cast("int")
+
+
+def _quantised(count: Column) -> Column:
+    return F.pow(F.lit(STEP), _level(count) - 0.5)
+
+
+def _entries(words: DataFrame, pairs: DataFrame, floor: tuple[float, float]) -> DataFrame:
+    return words.select("w", _level(F.col("c"), floor[0]).alias("top")).union(pairs.select("w", _level(F.col("c"), floor[1]).alias("top")))
+
+
+def filter_bits(words: DataFrame, pairs: DataFrame, floor: tuple[float, float]) -> int:
+    """log2 of the bits of the filter of these words and pairs."""
+    n = _entries(words, pairs, floor).agg(F.sum("top")).first()[0] or 1
+    return max(16, math.ceil(math.log2(n * PROBES * BITS_PER_PROBE)))
+
+
 def build_filter(words: DataFrame, pairs: DataFrame, floor: tuple[float, float]) -> LogFrequencyFilter:
-    """From (w, c) of the kept words and pairs."""
-    every = words.select("w", "c", F.lit(floor[0]).alias("floor")).union(pairs.select("w", "c", F.lit(floor[1]).alias("floor")))
-    level = 1 + F.floor(F.log(F.greatest(F.col("c") / F.col("floor"), F.lit(1.0))) / math.log(STEP) + 1e-9)
-    entries = every.select("w", level.cast("int").alias("top"))
-    n = entries.agg(F.sum("top")).first()[0] or 1
-    bits = max(16, math.ceil(math.log2(n * PROBES * BITS_PER_PROBE)))
+    """From (w, c) of the words and pairs."""
+    entries = _entries(words, pairs, floor)
+    bits = filter_bits(words, pairs, floor)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +189,7 @@ def log_probabilities(token: np.ndarray, model: LogFrequencyFilter, n: int, v: i
     one = model.count(level, 0)
     alone = (one + 1) / (n + v + 1)
     known = np.append(model.levels(np.array([END])), level[:-1]) > 0
-    both = np.flatnonzero(known & (level > 0))  # a pair is kept only if its words are
+    both = np.flatnonzero(known & (level > 0))  # a pair is seen only if its words are
     two = np.zeros(len(token))
     before = np.append(END, token[:-1])
     two[both] = model.count(model.levels(_pair(before[both], token[both])), 1)
@@ -172,6 +198,30 @@ def log_probabilities(token: np.ndarray, model: LogFrequencyFilter, n: int, v: i
     return np.log10(np.where(known, MIX * share + (1 - MIX) * alone, alone))
 
 
+def pair_terms(pairs: DataFrame, words: DataFrame, n: int, v: int) -> DataFrame:
+    """(w, gain): what a seen pair adds to log10 of its token's smoothed probability after a known word."""
+    count = words.select(F.col("w").alias("word"), F.col("c").alias("exact"))
+    seldom = pairs.filter("rare_before is not null or rare_token is not null")
+    for side in ("before", "token"):
+        seldom = seldom.join(count, F.col(f"rare_{side}") == F.col("word"), "left").withColumn(side, F.coalesce(side, "exact")).drop("word", "exact")
+    both = pairs.filter("rare_before is null and rare_token is null").unionByName(seldom)
+    alone = (_quantised(F.col("token")) + 1) / (n + v + 1)
+    share = F.least(_quantised(F.col("c")) / _quantised(F.col("before")), F.lit(1.0))
+    return both.select("w", (F.log10(MIX * share + (1 - MIX) * alone) - F.log10((1 - MIX) * alone)).alias("gain"))
+
+
+def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    key, value = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
+    order = np.argsort(key)
+    return key[order], value[order]
+
+
+def _lists(values: np.ndarray, chosen: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The chosen values of each row, whose first ones stand at ``first``."""
+    ends = np.concatenate([[0], np.cumsum(np.add.reduceat(chosen.astype(np.int64), first))])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[chosen].view(np.int64)))
+
+
 def scores(docs: DataFrame, floor: float = FLOOR) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     spark = docs.sparkSession
@@ -180,14 +230,15 @@ def scores(docs: DataFrame, floor: float = FLOOR) -> DataFrame:
     n, v, every = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("every"), F.lit(0))).first()
     least = max(1.0, floor * every)
     common = F.col("every") >= least
-    table = words.filter(common | (F.col("w") == int(END))).select("w", "c").toArrow()  # at most 1 / floor + 1 rows
-    w, c = table.column("w").to_numpy().view(np.uint64), table.column("c").to_numpy()
-    order = np.argsort(w)
-    frequent = spark.sparkContext.broadcast((w[order], c[order]))
-    floors = (max(1.0, floor * n), max(1.0, floor * n))
-    pairs = staged(pair_counts(docs, frequent).filter(F.col("c") >= floors[1]), "pairs")
-    model = build_filter(words.filter(F.col("c") >= floors[0]), pairs, floors)
-    held = spark.sparkContext.broadcast(model)
+    # at most 1 / floor + 1 rows
+    frequent = spark.sparkContext.broadcast(_sorted(words.filter(common | (F.col("w") == int(END))).select("w", "c").toArrow()))
+    pairs = staged(pair_counts(docs, frequent), "pairs")
+    seen, ones = words.filter("c > 0"), (1.0, 1.0)
+    small = filter_bits(seen, pairs, ones) <= FILTER_BITS
+    held = spark.sparkContext.broadcast(build_filter(seen, pairs, ones) if small else None)
+    # at most 1 / floor rows; as a pair is no more frequent than its words, none has a rare word
+    top = None if small else _sorted(pair_terms(pairs.filter(F.col("c") >= least), words, n, v).toArrow())
+    usual = spark.sparkContext.broadcast(top)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = frequent.value
@@ -196,24 +247,45 @@ def scores(docs: DataFrame, floor: float = FLOOR) -> DataFrame:
                 at = _find(known, token)
                 c = np.where(at >= 0, counts[at] if len(counts) else 0, 0)
                 rare = at < 0
-                ends = np.concatenate([[0], np.cumsum(np.add.reduceat(rare.astype(np.int64), first))])
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(token[rare].view(np.int64)))
-                sums = [np.diff(np.append(first, len(token))), np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(np.log10(c + 1.0), first), np.add.reduceat(log_probabilities(token, held.value, n, v), first)]
+                link = np.zeros(len(token), bool)
+                pair = np.zeros(len(token), np.uint64)
+                if small:
+                    value = log_probabilities(token, held.value, n, v)
+                else:
+                    middle = STEP ** (LogFrequencyFilter.level(c, 1.0) - 0.5)
+                    value = np.where(c > 0, np.log10(middle + 1) + math.log10(1 - MIX), 0.0)  # a row's words before are its tokens
+                    may = rare | (c > 0)
+                    end = _find(known, np.array([END]))[0]
+                    may &= np.append(end >= 0 and counts[end] > 0, may[:-1])
+                    pair = _pair(np.append(END, token[:-1]), token)
+                    key, gain = usual.value
+                    there = np.where(may, _find(key, pair), -1)
+                    value += np.where(there >= 0, gain[there] if len(gain) else 0.0, 0.0)
+                    link = may & (there < 0)
+                sums = [np.diff(np.append(first, len(token))), np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(np.log10(c + 1.0), first), np.add.reduceat(value, first)]
                 own = [batch.column(k).slice(a, b - a) for k in ("doc_id", "held_out")]
-                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, sums), lists], ["doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"])
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, sums), _lists(token, rare, first), _lists(pair, link, first)], ["doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare", "links"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>")
+    scored = docs.mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>, links array<long>")
     scored = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = words.filter(~common & (F.col("c") > 0)).select("w", "c")
-    seldom = scored.select("row", F.explode("rare").alias("w")).join(rest, "w").groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_logs"))
+    terms = [F.count("*").alias("more_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_logs"), F.sum(F.log10(_quantised(F.col("c")) + 1) + math.log10(1 - MIX)).alias("more_score")]
+    seldom = scored.select("row", F.explode("rare").alias("w")).join(rest, "w").groupBy("row").agg(*terms)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return scored.drop("rare").join(seldom, "row", "left").select(
+    out = scored.drop("rare", "links").join(seldom, "row", "left")
+    total = F.col("score")
+    if not small:
+        gains = pair_terms(pairs.filter(F.col("c") < least), words, n, v)
+        linked = scored.select("row", F.explode("links").alias("w")).join(gains, "w").groupBy("row").agg(F.sum("gain").alias("more_gain"))
+        out = out.join(linked, "row", "left")
+        total = total + zero("more_score") + zero("more_gain") - F.col("n_tokens") * math.log10(n + v + 1)
+    return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + zero("more_known")).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + zero("more_logs") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
-        "score",
+        total.alias("score"),
     )
