@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -392,6 +393,33 @@ def test_a_hub_whose_copies_are_not_linked(spark, block):
     assert by_row(found, "doc_id", "n_shingles", "component_id", "kept") == brute_groups(rows, 3, 85)
 
 
+@pytest.mark.parametrize("rows", [7, 400])
+@pytest.mark.parametrize("limit", [2, 16, 4096])
+def test_regions_over_the_limit_stay_linked(monkeypatch, limit, rows):
+    """Signatures that share LEAST_DEPTH values are linked, however large their region, in one batch or many."""
+    monkeypatch.setattr(neardup, "REGION", limit)
+    rng = np.random.default_rng(5)
+    key = np.hstack([rng.integers(0, 3, (400, 1)), rng.integers(0, 2, (400, neardup.DEPTH))])
+    key = key[np.lexsort(key.T[::-1])]
+    ids = rng.permutation(400)
+    table = pa.table({"tree": pa.array(key[:, 0], pa.int32()), "signature": pa.array([k.astype(">u2").tobytes() for k in key[:, 1:]], pa.binary()), "doc_id": pa.array(ids)})
+    parent = dict(zip(ids.tolist(), ids.tolist(), strict=True))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for batch in neardup._regions(iter(table.to_batches(rows))):
+        for r in batch.filter(batch.column("glue").is_null()).to_pylist():
+            parent[root(r["u"])] = root(r["v"])
+    got, want = {}, {}
+    for i, k in zip(ids.tolist(), key.tolist(), strict=True):
+        got.setdefault(root(i), set()).add(i)
+        want.setdefault(tuple(k[: 1 + neardup.LEAST_DEPTH]), set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 # -- 8 ---------------------------------------------------------------------
 
 

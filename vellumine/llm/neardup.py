@@ -4,9 +4,10 @@
    values. Documents of equal set collapse to the smallest doc_id (partial aggregation), so exact
    copies cost one row.
 2. Every tree's signatures are sorted globally (range partitions). Neighbours whose longest common
-   prefix reaches the region's depth form a region; each member is a candidate of the region's head.
-   The depth is ``LEAST_DEPTH`` and grows where a region has over ``REGION`` members. Regions cut by
-   a partition's edge are glued by their prefix. Candidates are linear in the signatures.
+   prefix reaches ``LEAST_DEPTH`` form a region; each member is a candidate of the region's head.
+   A region of over ``REGION`` members is dealt into parts of deeper prefixes: members are candidates
+   of their part's head, and that of the region's head. Regions cut by a partition's edge are glued
+   by their prefix. Candidates are linear in the signatures.
 3. Connected candidates form a cluster: every linked pair is in one, but for pairs that share a
    region in no tree (at similarity .85: 2e-8, at .8: 3e-6).
 4. Links are confirmed on full shingle sets within a cluster, breadth first: a document is compared
@@ -116,6 +117,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(parts) > 1:
                 for x, y in parts:
                     top[x:y] = ids[x]
+                    top[x] = ids[a]  # the part's head is a candidate of the whole region's
         glue = lambda r: key[r, : 1 + LEAST_DEPTH].astype(">u2").tobytes()
         out = ids != top
         yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(top[out]), pa.nulls(int(out.sum()), pa.binary())], schema=schema)
