@@ -211,6 +211,19 @@ def test_windows_reconcile_over_long_stretches():
     assert all(0 <= a < b <= len(text) for _, a, b in pii.tagged_spans([text], model)[0])
 
 
+@pytest.mark.parametrize(
+    "span",
+    ["maria22 @ departamento.universidad.example.net", "alexandra.konstantinopoulou-papadaki (@ example.org", "bo@ a-rather-long-department . university . example . net", "x" * 3000 + " @ " + "y.example" * 300],
+)
+def test_stretches_hold_whole_addresses(span):
+    for text in (span, f"one two {span} three four", f"tel 12 {span}, no 7"):
+        at = text.index(span)
+        assert any(a <= at and at + len(span) <= b for a, b in pii.stretches(text))
+    far = "word " * 40
+    (a, b), = pii.stretches(far + span + " " + far)
+    assert b - a <= len(span) + 2 * pii.AROUND + 20
+
+
 # -- 5 ---------------------------------------------------------------------
 
 

@@ -268,13 +268,28 @@ def default_tagger() -> Tagger:
     return train(labelled_examples())
 
 
+_DOMAIN = re.compile(r"[\s)]{0,2}[\w-]*(?: ?\. ?[\w-]+)*")
+_WORD_END = re.compile(r"\S*")
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
-    """The parts of a text within ``AROUND`` characters of a digit or at-sign, merged."""
+    """The parts of a text within ``AROUND`` characters of a digit or at-sign, merged.
+
+    Each reaches on to the ends of the words that it would cut, and of the dotted or spaced run after
+    an at-sign. Only text that no earlier stretch has is searched for them.
+    """
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
+        done = out[-1][1] if out else 0
         a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+        if text[m.end() - 1] == "@":
+            b = max(b, _DOMAIN.match(text, m.end()).end())
+        if b > done:
+            b = _WORD_END.match(text, b).end() if not text[b - 1].isspace() else b
+        while a > done and not text[a - 1].isspace():
+            a -= 1
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
