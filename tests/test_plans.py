@@ -12,7 +12,7 @@ import __spark_entry__
 from vellumine.functions import rx
 from vellumine.functions.sqlfns import register_sql
 from vellumine.operators import clean, metrics
-from vellumine.plans import pipeline, registry, report
+from vellumine.plans import pipeline, queries, registry, report
 from vellumine.plans.queries import small_registry
 from vellumine.sources import files
 from vellumine.streaming import stream
@@ -64,6 +64,15 @@ def test_names_and_headers(spark):
     assert "  - [1] Cleaning → P\n      Время выполнения: 0.123 сек" in text and text.endswith("\n---\n\n")
 
 
+def test_file_names_take_the_whole_text(spark, tmp_path):
+    text = "one two/three: four\t" + "five\\six? " * 30 + "end"
+    spark.createDataFrame([(1, "en", "web", text), (2, None, "web", None)], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.file_names(spark, str(tmp_path)).collect()}
+    assert got[1].sanitised == "en-_web-_one_two-three_four_" + "five-six_" * 30 + "end"
+    assert got[1].safe == "en__web__one_two_three__four_" + "five_six__five_six__f"
+    assert got[2].sanitised == "web"
+
+
 def test_reports(docs):
     quality = pipeline.process(docs, small_registry())
     rows = [r.asDict() for r in pipeline.comparison(quality).filter("doc_id = 1").orderBy("ext_ord").collect()]

@@ -213,7 +213,7 @@ def previews(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def file_names(spark: SparkSession, d: str) -> DataFrame:
-    name = F.concat_ws("/ ", "lang", "source", F.left("text", F.lit(20)))
+    name = F.concat_ws("/ ", "lang", "source", "text")
     return documents(spark, d).select("doc_id", report.sanitise(name).alias("sanitised"), report.safe_file(name).alias("safe"), report.stage_file(F.lit(2), F.col("lang"), F.array("source", F.lit("a b")), F.lit(".md"), F.col("doc_id") % 2 == 0).alias("stage_file"))
 
 
