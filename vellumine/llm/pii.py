@@ -268,7 +268,7 @@ def default_tagger() -> Tagger:
     return train(labelled_examples())
 
 
-_DOMAIN = re.compile(r"[\s)]{0,2}[\w-]*(?: ?\. ?[\w-]+)*")
+_DOMAIN_RUN = re.compile(r"[\s)]{0,2}[\w-]*(?: ?\. ?[\w-]+)*")
 _WORD_END = re.compile(r"\S*")
 
 
@@ -283,7 +283,7 @@ def stretches(text: str) -> list[tuple[int, int]]:
         done = out[-1][1] if out else 0
         a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
         if text[m.end() - 1] == "@":
-            b = max(b, _DOMAIN.match(text, m.end()).end())
+            b = max(b, _DOMAIN_RUN.match(text, m.end()).end())
         if b > done:
             b = _WORD_END.match(text, b).end() if not text[b - 1].isspace() else b
         while a > done and not text[a - 1].isspace():
