@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.scratch import staged
+from vellumine.llm.scratch import clear, staged, written
 
 SALTS = 4
 
@@ -35,10 +35,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); the component is its smallest node."""
+    before_all = written()
     now = staged(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
         now = staged(_star(_star(now, True), False), "edges")
+        clear(edges.sparkSession, before_all, keep=1)
         before, mark = mark, _mark(now)
         if before == mark:
             break

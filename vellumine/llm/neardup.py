@@ -17,7 +17,7 @@
 
 Edge cases: null, empty and wordless texts have no shingles and link with nothing; fewer words than
 the shingle length make one shingle of the whole sequence; rows that share a doc_id are one node;
-a null doc_id is a component of its own (null); further columns are ignored.
+a null doc_id is a component of its own (null); ids are integers; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm import textarrays as X
+from vellumine.llm.bitmaps import gathered, has
 from vellumine.llm.components import components
-from vellumine.llm.scratch import staged
+from vellumine.llm.scratch import clear, staged, written
 
 TREES, DEPTH, LEAST_DEPTH, REGION = 24, 8, 4, 4096
 #: Documents that one task compares at a time, and pivots that all blocks of a cluster share.
 BLOCK, PIVOTS = 256, 16
+#: Bits and probes a candidate's id has in the filter that texts pass before they move; its largest size is 2**FILTER_BITS bits (32 MB).
+ID_BITS, PROBES, FILTER_BITS = 16, 3, 28
 _draw = np.random.default_rng(7)
 _A = _draw.integers(1, 2**32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
 _B = _draw.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
@@ -228,6 +231,38 @@ def _confirm(rows: DataFrame, n: int, percent: int, *keys: str) -> DataFrame:
     return ordered.select(*keys, "doc_id", "text").mapInArrow(_resolve(n, percent, keys), "u long, v long").filter("u <> v")
 
 
+def _id_bits(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    h = X.mix(ids.view(np.uint64))
+    step = X.mix(h) | np.uint64(1)
+    return [(h + np.uint64(k) * step) >> np.uint64(64 - bits) for k in range(PROBES)]
+
+
+def candidate_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of at least the rows whose doc_id is a ``node`` of ``ids``, without moving any text.
+
+    A Bloom filter of the ids goes to every executor. Where there are too many ids for its largest
+    size more rows pass than are candidates; the join that follows drops them.
+    """
+    bits = max(16, min(FILTER_BITS, (ID_BITS * max(1, ids.count())).bit_length()))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = np.concatenate(_id_bits(batch.column("node").to_numpy(), bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(bit), np.int32)), pa.array(bit)], ["row", "bit"])
+
+    held = docs.sparkSession.sparkContext.broadcast(gathered(ids.select("node").mapInArrow(place, "row int, bit long"), 1, bits)[0])
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.ones(batch.num_rows, bool)
+            for bit in _id_bits(batch.column("doc_id").to_numpy(), bits):
+                found &= has(held.value, bit)
+            yield batch.filter(pa.array(found))
+
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.mapInArrow(passing, "doc_id long, text string")
+
+
 def confirmed_components(docs: DataFrame, clusters: DataFrame, n: int, percent: int, block: int = BLOCK) -> DataFrame:
     """(node, component) after links are confirmed on full sets within ``clusters`` (node, component)."""
     sizes = staged(clusters.groupBy("component").agg(F.count("*").alias("members")), "cluster-sizes")  # written: a large cluster's rows can be split in the join
@@ -235,6 +270,7 @@ def confirmed_components(docs: DataFrame, clusters: DataFrame, n: int, percent:
         "node", F.col("component").alias("cluster"), F.ceil(F.col("members") / block).cast("int").alias("blocks"), F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / block)).cast("int").alias("block")
     )
     own = staged(dealt, "clusters")
+    begun = written()
     # one pivot for each value of a hash: PIVOTS at most, whatever the cluster's size
     drawn = F.xxhash64(F.col("node") + 1)
     pivots = own.filter("blocks > 1").groupBy("cluster", F.pmod(drawn, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(drawn.alias("h"), F.col("node"))).alias("p"))
@@ -242,12 +278,13 @@ def confirmed_components(docs: DataFrame, clusters: DataFrame, n: int, percent:
     chosen = own.join(pivots, (own["node"] == pivots["pivot"]) & (own["cluster"] == pivots["c"]), "left").select(
         "node", "cluster", "blocks", "block", F.when(F.col("pivot").isNotNull(), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")).alias("to")
     )
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = staged(candidate_texts(docs, own), "candidate-texts")
     rows = texts.join(chosen, texts["doc_id"] == chosen["node"]).select("cluster", F.explode("to").alias("part"), "doc_id", "text")
     first = staged(_confirm(rows, n, percent, "cluster", "part"), "links")
-    labels = components(first)
+    labels = staged(components(first), "labels")
     big = own.filter("blocks > 1")
     if not big.head(1):
+        clear(docs.sparkSession, begun, keep=1)
         return labels
     # documents of large clusters outside the cluster's largest component meet all blocks
     labelled = big.join(labels, "node", "left").select("node", "cluster", "blocks", "block", F.coalesce("component", "node").alias("component"))
@@ -257,7 +294,7 @@ def confirmed_components(docs: DataFrame, clusters: DataFrame, n: int, percent:
     apart = staged(apart.select("node", "cluster", "blocks", "block", "out"), "apart")
     left = staged(apart.filter("out").groupBy("cluster").agg(F.count("*").alias("left")).select(F.col("cluster").alias("c"), F.greatest(F.lit(1), F.ceil(F.col("left") / block)).cast("int").alias("lots")), "left")
     if not left.head(1):
-        return labels
+        return labels  # the tables written since are as small as it
     lot = F.pmod(F.xxhash64(F.col("node") + 2), F.col("lots")).cast("int")
     meeting = apart.join(left, apart["cluster"] == left["c"]).withColumn("lot", lot)
     every = F.sequence(F.lit(0), F.col("lots") - 1)
@@ -266,15 +303,20 @@ def confirmed_components(docs: DataFrame, clusters: DataFrame, n: int, percent:
     ).distinct()
     again = texts.join(visits, texts["doc_id"] == visits["node"]).select("cluster", "part", "lot", "doc_id", "text")
     second = _confirm(again, n, percent, "cluster", "part", "lot")
-    return components(first.union(second))
+    whole = staged(components(first.union(second)), "labels")
+    clear(docs.sparkSession, begun, keep=1)
+    return whole
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, representative (least doc_id of equal sets), component_id, kept, for each row."""
     rows = staged(_described(docs, n), "signatures")
+    begun = written()
     some = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = staged(some.groupBy("hi", "lo", "n_shingles").agg(F.min(F.struct("doc_id", "forest")).alias("r")).select("hi", "lo", "n_shingles", F.col("r.doc_id").cast("long").alias("doc_id"), F.col("r.forest").alias("forest")), "classes")
-    clusters = candidate_clusters(classes.select("doc_id", "forest"))
+    clusters = staged(candidate_clusters(classes.select("doc_id", "forest")), "candidates")
+    classes = staged(classes.drop("forest"), "classes")
+    clear(docs.sparkSession, begun, keep=2)
     labels = confirmed_components(docs, clusters, n, percent, block)
     named = classes.select("hi", "lo", "n_shingles", F.col("doc_id").alias("representative")).join(labels, F.col("representative") == F.col("node"), "left").select("hi", "lo", "n_shingles", "representative", "component")
     same_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "representative", F.col("doc_id")))

@@ -38,10 +38,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes every staged table of this process; call it once their results are written."""
+def written() -> int:
+    """How many staged tables there are: a mark for ``clear``."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables staged after the mark ``since`` but the last ``keep``; nothing may read them any more."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    last = len(_written) - keep
+    for name in _written[since:last]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    del _written[since:last]

@@ -23,7 +23,7 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 _BASE, _SEQ = U(0x9E3779B97F4A7C15), (U(0xD1342543DE82EF95), U(0xAF251AF3B0F025B5))
 _grown: dict[int, np.ndarray] = {}
 #: Bytes of text hashed at a time; a longer document is one chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def powers(base: int, n: int) -> np.ndarray:
