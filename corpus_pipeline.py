@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.llm import decontam, lines, neardup, queries, rules
-from vellumine.llm.scratch import staged
+from vellumine.llm.scratch import clear, staged, written
 
 #: Keys of rejected documents (24 bytes each) sent to all executors at most; more are joined by shuffling.
 BROADCAST_ROWS = 2_000_000
@@ -75,5 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        begun = written()
         docs = staged(stage(spark, docs, sf_dir), name)
+        clear(spark, begun, keep=1)  # what the stage itself has staged
     return STAGES[-1][1](spark, docs, sf_dir)
