@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import by_row
 from vellumine.llm import bpe, decontam, lines, lm, neardup, pii, rules, sharding, substrings, textarrays, tokcount
+from vellumine.llm.queries import QUERIES
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -344,6 +345,47 @@ def test_drafts_append_and_edit_exactly(pairs, tiktoken_encoding):
             assert draft.ids() == tiktoken_encoding.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("alphabet", ["'velrdtms I", "ab  \n\t9'", "w e'l\u00a0\r\n", "é日've 12!?"])
+def test_drafts_by_any_alphabet(pairs, tiktoken_encoding, alphabet):
+    rng = random.Random(11)
+    for _ in range(120):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30)))
+        draft = bpe.Draft(pairs, text)
+        for _ in range(8):
+            new = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 4)))
+            a = rng.randint(0, len(text))
+            b = rng.choice([a, a, min(len(text), a + rng.randint(1, 6))])
+            draft.replace(a, b, new)
+            text = text[:a] + new + text[b:]
+            assert draft.text == text
+            assert draft.ids() == tiktoken_encoding.encode_ordinary(text), text
+
+
+def test_drafts_of_known_contractions(pairs, tiktoken_encoding):
+    draft = bpe.Draft(pairs, "I'v")
+    draft.append("e")
+    assert draft.ids() == tiktoken_encoding.encode_ordinary("I've")
+    draft = bpe.Draft(pairs, "we'l done")
+    draft.replace(4, 4, "l")
+    assert draft.ids() == tiktoken_encoding.encode_ordinary("we'll done")
+
+
+def test_every_split_of_a_sample_in_two(pairs, tiktoken_encoding):
+    sample = "we've  said\t12 it's\n\n they'll  'd go\u2003é日本!! "
+    want = tiktoken_encoding.encode_ordinary(sample)
+    for k in range(len(sample) + 1):
+        draft = bpe.Draft(pairs, sample[:k])
+        draft.append(sample[k:])
+        assert draft.ids() == want
+
+
+def test_op10_query(spark, rows, tmp_path, tiktoken_encoding):
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = by_row(QUERIES["op10_byte_bpe"](spark, str(tmp_path)), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    ids = [(i, tiktoken_encoding.encode_ordinary(t or ""), t or "") for i, t in rows]
+    assert found == sorted(((i, len(x), sha(" ".join(map(str, x))), sha(t)) for i, x, t in ids), key=repr)
+
+
 def test_bpe_round_trip(docs, rows, nothing, tiktoken_encoding):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     found = bpe.decode_documents(bpe.encode_documents(docs, path, pattern, ("doc_id", "n_words")), path, pattern)

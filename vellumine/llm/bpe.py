@@ -10,7 +10,8 @@ Texts split into pieces by the tokenizer's pattern; each piece is encoded on its
 before come from a bounded cache.
 
 Edge cases: null and empty texts have no ids and decode to no bytes; ids follow from the text alone,
-so repeated rows get equal results; columns other than those named are ignored.
+so repeated rows get equal results; an empty table gives none; a long text is one row of any length;
+columns other than those carried are ignored, and so is a carried one with the name of a result.
 """
 
 from __future__ import annotations
@@ -18,14 +19,18 @@ from __future__ import annotations
 import base64
 import re
 from array import array
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import cached_property
+from itertools import accumulate
+from os.path import commonprefix
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from vellumine.llm.memo import Memo
 
@@ -229,12 +234,22 @@ class BytePairs:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
+#: Characters past a piece's end that its match may have looked at, besides a run of spaces.
+LOOK_AHEAD = 4
+
+
 class Draft:
-    """A text under edit: only pieces that an edit touches are split and encoded again."""
+    """A text under edit: only pieces that an edit may change are split and encoded again.
+
+    A match that ended before an edit stands if it can't have looked at what the edit changed: the
+    text between has a character other than space and ``LOOK_AHEAD`` more. Splitting starts at the
+    last such border and stops where it meets an old border behind the edit, as patterns look ahead only.
+    The last piece's prefix table is kept up to where its bytes change.
+    """
 
     def __init__(self, pairs: BytePairs, text: str = ""):
         self.pairs, self.pieces = pairs, []
-        self.pattern = pairs.pattern
+        self.find = regex.compile(pairs.pattern).finditer
         self.open = PrefixTable(pairs.table, b"")
         self.append(text)
 
@@ -243,47 +258,39 @@ class Draft:
         return "".join(self.pieces)
 
     def append(self, more: str) -> None:
-        """The last piece may grow or split; all before it stay. Its table is extended, not rebuilt."""
-        tail = self.pieces.pop() if self.pieces else ""
-        self.pieces += self.pairs.split(tail + more)
-        self._reopen()
-
-    def _reopen(self) -> None:
-        raw = self.pieces[-1].encode() if self.pieces else b""
-        if raw.startswith(self.open.text):
-            self.open.append(raw[len(self.open.text) :])
-        else:
-            self.open = PrefixTable(self.pairs.table, raw)
+        end = sum(map(len, self.pieces))
+        self.replace(end, end, more)
 
     def replace(self, start: int, end: int, new: str) -> None:
-        """Characters ``start:end`` become ``new``; splitting resumes where it meets old pieces again."""
-        before, at = [], 0
-        for k, piece in enumerate(self.pieces):
-            # the piece that holds the character before the edit may change with what follows it
-            if at + len(piece) >= start:
-                break
-            before.append(piece)
-            at += len(piece)
-        else:
-            k = len(self.pieces)
-        rest = "".join(self.pieces[k:])
+        """Characters ``start:end`` become ``new``."""
+        old = self.pieces
+        ends = list(accumulate(map(len, old)))
+        first = bisect_right(ends, start)  # pieces before it end at or before the edit
+        at = ends[first - 1] if first else 0
+        between = old[first][: start - at] if first < len(old) else ""
+        while first and not between[: max(0, len(between) - LOOK_AHEAD)].strip():
+            first -= 1
+            between = old[first] + between
+        at = ends[first] - len(old[first]) if first < len(old) else at
+        rest = "".join(old[first:])
         fresh = rest[: start - at] + new + rest[end - at :]
-        old_ends, place = {}, 0
-        for j, piece in enumerate(self.pieces[k:], k):
-            place += len(piece)
-            old_ends[len(rest) - place] = j + 1
-        safe = len(rest) - (end - at)  # characters after the edit
-        out, done = [], 0
-        for match in regex.finditer(self.pattern, fresh):
+        later = {ends[-1] - e: k + 1 for k, e in enumerate(ends) if e >= end}  # characters after a border, and its next piece
+        out, after = [], ends[-1] - end if ends else 0
+        for match in self.find(fresh):
             out.append(match[0])
-            done = match.end()
-            left = len(fresh) - done
-            if left < safe and left in old_ends:
-                out += self.pieces[old_ends[left] :]
+            left = len(fresh) - match.end()
+            if left <= after and left in later:
+                out += old[later[left] :]
                 break
-        self.pieces = before + out
+        self.pieces = old[:first] + out
         self._reopen()
 
+    def _reopen(self) -> None:
+        raw = self.pieces[-1].encode() if self.pieces else b""
+        same = len(commonprefix([raw, self.open.text]))
+        self.open.cut(same)
+        self.open.append(raw[same:])
+
     def ids(self) -> list[int]:
         out = self.pairs.encode_pieces(self.pieces[:-1])
         return out + [self.pairs.ids[t] for t in self.open.tokens()]
@@ -306,36 +313,38 @@ def _shared(spark: SparkSession, path: str, pattern: str):
         return spark.sparkContext.broadcast((f.read(), pattern))
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns and ``ids`` (array<int>) of each whole text."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, carry: tuple[str, ...] = ("doc_id",), decode: bool = False) -> DataFrame:
+    """The carried columns, ``ids`` (array<int>) of each whole text and, if asked for, ``decoded``, the bytes that they stand for."""
     held = _shared(docs.sparkSession, path, pattern)
+    carry = tuple(c for c in carry if c not in ("ids", "decoded"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _pairs(held)
         for batch in batches:
             text = batch.column(batch.num_columns - 1)
-            packed = [pairs.encode_packed(t or "") for at in range(0, batch.num_rows, 256) for t in text[at : at + 256].to_pylist()]
-            ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(carry))), ids], [*carry, "ids"])
+            for at in range(0, batch.num_rows, 512):  # small batches out: a few of them are held at once
+                some = batch.slice(at, 512)
+                packed = [pairs.encode_packed(t or "") for t in text[at : at + 512].to_pylist()]
+                ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+                arrays = [*(some.column(c) for c in range(len(carry))), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
+                if decode:
+                    arrays.append(pa.array([pairs.decode(np.frombuffer(p, np.int32).tolist()) for p in packed], pa.binary()))
+                yield pa.RecordBatch.from_arrays(arrays, [*carry, "ids", *["decoded"] * decode])
 
     kept = docs.select(*carry)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return docs.select(*carry, docs["text"].alias("__text")).mapInArrow(encode, f"{schema}, ids array<int>")
+    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.BinaryType())] * decode])
+    return docs.select(*carry, docs["text"].alias("__text")).mapInArrow(encode, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``encoded`` with ``decoded``, the bytes that its ids stand for."""
+    """``encoded`` with ``decoded``, the bytes that its ids stand for; a null list has none."""
     held = _shared(encoded.sparkSession, path, pattern)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = held.value[0]
-        token = {int(b): base64.b64decode(a) for a, b in map(bytes.split, raw.splitlines()) if a}.__getitem__
+        pairs = _pairs(held)
         for batch in batches:
-            lists = batch.column("ids").fill_null([]) if batch.column("ids").null_count else batch.column("ids")
-            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            out = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            out = [pairs.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(decode, f"{schema}, decoded binary")
+    encoded = encoded.drop("decoded")
+    return encoded.mapInArrow(decode, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))

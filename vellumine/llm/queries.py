@@ -80,7 +80,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def round_trip(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the bytes that they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    decoded = bpe.decode_documents(bpe.encode_documents(docs, path, pattern), path, pattern)
+    decoded = bpe.encode_documents(docs, path, pattern, decode=True)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
