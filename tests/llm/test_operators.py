@@ -241,7 +241,13 @@ def brute_lines(rows, least):
 
 @pytest.mark.parametrize("keys", [lines.BROADCAST_KEYS, 0])
 @pytest.mark.parametrize("least", [2, 10])
-def test_lines(docs, rows, nothing, keys, least):
+@pytest.mark.parametrize("shard", [3, 1 << 18])
+def test_lines(docs, rows, nothing, monkeypatch, keys, least, shard):
+    monkeypatch.setattr(lines, "KEYS_PER_SHARD", shard)
+    clashing = docs.selectExpr("doc_id", "text", "lang as text_hash", "lang as gone", "1 as d", "2 as n_lines")
+    found = lines.drop_frequent_lines(clashing, least, carry=("text_hash", "gone", "d", "n_lines"), broadcast_keys=keys)
+    assert found.columns == ["doc_id", "text", "text_hash", "gone", "d", "n_lines", "n_dropped"]
+    assert by_row(found, "doc_id", "text", "n_lines", "n_dropped") == brute_lines(rows, least)
     found = lines.drop_frequent_lines(docs, least, carry=("lang", "hi"), broadcast_keys=keys)
     assert found.columns == ["doc_id", "text", "lang", "hi", "n_lines", "n_dropped"]
     assert by_row(found, "doc_id", "text", "n_lines", "n_dropped") == brute_lines(rows, least)
@@ -263,6 +269,14 @@ def test_line_index_is_reversible(docs, rows):
         back.delete(rest)
 
 
+def test_only_lines_that_pass_a_filter_meet_the_counts(docs, rows):
+    index = lines.LineIndex.build(docs, 2)
+    asked = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"))
+    frequent, passed = index.frequent().count(), index._maybe_frequent(asked)
+    assert 0 < passed.select("hi", "lo").distinct().count() <= 1.1 * frequent + 2 < index.counts.count()
+    assert passed.join(index.frequent(), ["hi", "lo"], "left_semi").select("hi", "lo").distinct().count() == frequent
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     hi, lo = rng.integers(0, 2**63, (2, 3000), dtype=np.uint64)

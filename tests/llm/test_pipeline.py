@@ -18,8 +18,9 @@ def brute_keep(rows):
 def test_stages(spark, rows, tmp_path):
     texts = [(i, t) for k, (i, t) in enumerate(rows) if (i, t) not in rows[:k]]  # repeated rows share one fate
     items = [*items_of(rows), (30, " ".join(terms(rows[1][1])[:30]))]
-    wide = [(i, t, "en", "s", len(t or "")) for i, t in texts]
-    spark.createDataFrame(wide, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    wide = [(i, t, "en", "s", len(t or ""), 1, 2, 3, "f", [4]) for i, t in texts]
+    extra = "n_lines int, n_dropped int, text_hash int, kept string, ids array<int>"  # names that stages use inside
+    spark.createDataFrame(wide, f"doc_id long, text string, lang string, source string, n_chars long, {extra}").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     columns = docs.columns
@@ -44,5 +45,11 @@ def test_stages(spark, rows, tmp_path):
     assert {r.doc_id: r.decoded_sha256 for r in last} == {i: sha(t) for i, t in have.items()}
 
 
+def test_stages_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_five_stages_of_the_ten_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "benchmark_decontamination", "byte_bpe"]

@@ -4,9 +4,11 @@ A line's key is the line with ``[\\x20\\x09-\\x0D]`` stripped from both ends and
 identity is a 128-bit hash. ``counts`` holds, exactly, in how many documents each key occurs;
 inserting documents adds to it, deleting them subtracts, so any history can be undone. Keys that
 reach the threshold are in their shard's cuckoo filter, keys that fall below it are deleted there.
-A line that the filter lacks is kept without a lookup; a positive is confirmed on exact counts.
+A line that the filter lacks is kept without a lookup; a positive is confirmed on exact counts. Up to
+``BROADCAST_KEYS`` frequent keys the filters and the keys go to every executor; beyond, lines are sent
+to their shard's filter, and those that it lets pass are joined with the exact counts.
 
-Edge cases: a null or empty text is one empty line; the empty key is never dropped; a key repeated
+Edge cases: an empty table gives no rows; a null or empty text is one empty line; the empty key is never dropped; a key repeated
 in one document counts once; a text whose lines all go becomes empty; repeated rows are separate
 documents; columns other than those carried are ignored.
 """
@@ -22,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellumine.llm.scratch import staged
 
@@ -29,6 +32,8 @@ from vellumine.llm.scratch import staged
 BROADCAST_KEYS = 2_000_000
 #: Frequent keys a shard of the filter holds about.
 KEYS_PER_SHARD = 1 << 18
+#: Copies of each shard's filter that share the lines of a hot key.
+SALTS = 8
 _SPACE = b" \t\n\x0b\x0c\r"
 _SLOTS = 4
 
@@ -146,9 +151,13 @@ class LineIndex:
     @classmethod
     def build(cls, docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> LineIndex:
         counts = staged(reference_counts(docs, min_chars), "line-counts")
-        shards = max(1, -(-counts.filter(F.col("n_docs") >= min_docs).count() // KEYS_PER_SHARD))
+        shards = cls._needed(counts, min_docs)
         return cls(counts, staged(cls._filters(counts, shards, min_docs), "line-filters"), shards, min_docs, min_chars)
 
+    @staticmethod
+    def _needed(counts: DataFrame, min_docs: int) -> int:
+        return max(1, -(-counts.filter(F.col("n_docs") >= min_docs).count() // KEYS_PER_SHARD))
+
     @staticmethod
     def _shard(shards: int):
         return F.pmod("hi", F.lit(shards)).cast("int")
@@ -182,9 +191,11 @@ class LineIndex:
 
         changed = staged(self.filters.groupBy("shard").cogroup(crossing.groupBy("shard")).applyInPandas(update, "shard int, filter binary"), "line-filters")
         counts = new.filter("n_docs > 0").select("hi", "lo", "n_docs")
+        shards = self.shards
         if changed.filter("filter is null").head(1):  # a shard is too full: build anew from the counts
-            changed = staged(self._filters(counts, self.shards, self.min_docs), "line-filters")
-        return LineIndex(counts, changed, self.shards, self.min_docs, self.min_chars)
+            shards = max(shards, self._needed(counts, self.min_docs))
+            changed = staged(self._filters(counts, shards, self.min_docs), "line-filters")
+        return LineIndex(counts, changed, shards, self.min_docs, self.min_chars)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         return self._changed(docs, 1)
@@ -196,14 +207,16 @@ class LineIndex:
         return self.counts.filter(F.col("n_docs") >= self.min_docs).select("hi", "lo")
 
     def apply(self, docs: DataFrame, carry: tuple[str, ...] = (), broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-        """doc_id, text (what is left of it), n_lines, n_dropped and the carried columns."""
-        if {"doc_id", "text", "n_lines", "n_dropped"} & {*carry}:
-            raise ValueError("a carried column has the name of a result")
+        """doc_id, text (what is left of it), n_lines, n_dropped and the carried columns.
+
+        Columns named as a result can't be carried by themselves; put them in a struct of another name.
+        """
+        carry = tuple(c for c in carry if c not in ("doc_id", "text", "n_lines", "n_dropped"))
         docs = docs.select("doc_id", "text", *carry)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
+        schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
         if self.frequent().count() <= broadcast_keys:
             return docs.mapInArrow(self._by_broadcast(docs), schema)
-        return self._by_join(docs, carry, schema)
+        return self._by_join(docs, schema)
 
     def _by_broadcast(self, docs: DataFrame):
         keys = self.frequent().toPandas()
@@ -239,10 +252,15 @@ class LineIndex:
 
         return drop
 
-    def _by_join(self, docs: DataFrame, carry: tuple[str, ...], schema: str) -> DataFrame:
-        min_chars = self.min_chars
+    def _maybe_frequent(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, __hash, __line, hi, lo) of lines that their shard's filter doesn't rule out.
 
-        def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Lines go to ``SALTS`` copies of their shard's filter, in turn, as one key may hold a third of
+        all lines. A task reads each filter before the lines that it decides.
+        """
+        min_chars, shards = self.min_chars, self.shards
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys = [_keys(x.split(b"\n"), min_chars) for x in _texts(batch)]
                 flat = [k for x in keys for k in x]
@@ -251,24 +269,55 @@ class LineIndex:
                 line = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
                 some = np.fromiter(map(bool, flat), bool, len(flat))
                 d = _digests(flat)[some].astype(np.int64)
-                ids = [batch.column(c).take(pa.array(row[some])) for c in ("doc_id", "text_hash")]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(line[some].astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])], ["doc_id", "text_hash", "line", "hi", "lo"])
+                ids = [batch.column(c).take(pa.array(row[some])) for c in ("doc_id", "__hash")]
+                shard = np.mod(d[:, 0], shards).astype(np.int32)
+                salt = (row[some] % SALTS).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, (shard, salt, line[some].astype(np.int32), d[:, 0], d[:, 1])), pa.nulls(len(d), pa.binary())], named.names)
 
-        docs = docs.withColumn("text_hash", F.xxhash64("text"))
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        lines = docs.select("doc_id", "text_hash", "text").mapInArrow(probes, f"doc_id {kind}, text_hash long, line int, hi long, lo long")
-        gone = lines.join(self.frequent(), ["hi", "lo"]).groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set("line").alias("gone"))
-        joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["d"]) & (docs["text_hash"] == gone["h"]), "left").select("doc_id", "text", *carry, "gone")
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, f = None, None
+            for batch in batches:
+                raw = batch.column("filter")
+                place = np.stack([batch.column(c).to_numpy() for c in ("shard", "salt")], 1)
+                edges = np.flatnonzero(np.append(True, (place[1:] != place[:-1]).any(1))).tolist() + [len(place)]
+                hit = np.zeros(len(place), bool)
+                hi, lo = (batch.column(c).fill_null(0).to_numpy().view(np.uint64) for c in ("hi", "lo"))
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    if a == b:
+                        continue
+                    if tuple(place[a]) != key:
+                        key, f = tuple(place[a]), None
+                    if raw[a].is_valid:
+                        f, a = CuckooFilter.from_bytes(raw[a].as_py()), a + 1
+                    if f is not None:  # no filter: no key of the shard is frequent
+                        hit[a:b] = f.contains(hi[a:b], lo[a:b])
+                yield batch.select(["doc_id", "__hash", "__line", "hi", "lo"]).filter(pa.array(hit))
+
+        named = T.StructType([*docs.select("doc_id", "__hash").schema.fields, *(T.StructField(c, T.IntegerType()) for c in ("shard", "salt", "__line")), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("filter", T.BinaryType())])
+        asked = docs.select("doc_id", "__hash", "text").mapInArrow(keyed, named)
+        blank = lambda c: F.lit(None).cast(named[c].dataType).alias(c)
+        salted = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        copies = salted.select(blank("doc_id"), blank("__hash"), "shard", "salt", blank("__line"), blank("hi"), blank("lo"), "filter")
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        met = asked.union(copies).repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
+        out = T.StructType([f for f in named.fields if f.name in ("doc_id", "__hash", "__line", "hi", "lo")])
+        return met.mapInArrow(probe, out)
+
+    def _by_join(self, docs: DataFrame, schema: T.StructType) -> DataFrame:
+        names = docs.columns
+        docs = docs.withColumn("__hash", F.xxhash64("text"))
+        gone = self._maybe_frequent(docs).join(self.frequent(), ["hi", "lo"]).groupBy(F.col("doc_id").alias("__d"), F.col("__hash").alias("__h")).agg(F.collect_set("__line").alias("__gone"))
+        joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__d"]) & (docs["__hash"] == gone["__h"]), "left").select(*(docs[c] for c in names), "__gone")
 
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 lines = [x.split(b"\n") for x in _texts(batch)]
                 flags = []
-                for x, at in zip(lines, batch.column("gone").to_pylist(), strict=True):
+                for x, at in zip(lines, batch.column("__gone").to_pylist(), strict=True):
                     f = np.zeros(len(x), bool)
                     f[at or []] = True
                     flags.append(f)
-                yield _without(batch.select(["doc_id", "text", *carry]), lines, flags)
+                yield _without(batch.select(names), lines, flags)
 
         return joined.mapInArrow(drop, schema)
 
