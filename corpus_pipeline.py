@@ -4,7 +4,9 @@ Each stage takes (spark, docs, sf_dir), works on everything the stage before it
 columns of ``documents``; the last one returns a digest of each document's token ids.
 
 Edge cases follow the operators: a null text fails the rules; a text whose lines are all frequent
-stays as an empty one; rows that repeat both doc_id and text share one fate.
+stays as an empty one; rows that repeat both doc_id and text share one fate; of documents that tie as
+copies the least doc_id stays; empty tables give none; texts of any length are one row; further
+columns pass through under whatever name.
 """
 
 from __future__ import annotations
@@ -35,8 +37,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more leave all of them; n_chars follows."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    left = lines.drop_frequent_lines(docs, min_docs=10, carry=others)
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    whole = docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *others).alias("others"))  # in one column, whatever their names
+    left = lines.drop_frequent_lines(whole, min_docs=10, carry=("others",)).select("doc_id", "text", "others.*")
     kept = left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
     return kept.select(*docs.columns)
 
