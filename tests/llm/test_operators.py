@@ -492,29 +492,50 @@ def test_regions_over_the_limit_stay_linked(monkeypatch, limit, rows):
 # -- 8 ---------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("floor", [lm.FLOOR, 2e-3])
-def test_lm_base_scores(docs, rows, nothing, floor):
+SMALL = {"batch_tokens": 700, "shard_bytes": 2000}
+
+
+@pytest.mark.parametrize("sizes", [{}, SMALL])
+def test_lm_base_scores(docs, rows, nothing, sizes):
     held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2
     toks = [[*split("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), None] for _, t in rows]
     c = Counter(w for (i, _), w_ in zip(rows, toks, strict=True) if not held(i) for w in w_)
     n, v = sum(c.values()), len(c)
     want = {(i, held(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 5)) for (i, _), w in zip(rows, toks, strict=True)}
-    found = lm.scores(docs, floor).collect()
+    found = lm.scores(docs, **sizes).collect()
     assert {(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in found} == want
     assert len(found) == len(rows)
     assert all(-1e9 < r.score < 0 for r in found)
-    assert lm.scores(nothing).count() == 0
+    assert lm.scores(nothing, **sizes).count() == 0
+
 
+def test_lm_without_training_documents(spark):
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2][:3]
+    got = lm.scores(spark.createDataFrame([(k, "a b") for k in held], "doc_id long, text string")).collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(3, 0, 0, 0.0, 0.0)] * 3
 
-def test_lm_filter_never_underestimates(spark):
+
+def test_lm_filter_never_underestimates():
     rng = np.random.default_rng(2)
     key, c = rng.integers(0, 2**63, 500, dtype=np.uint64), rng.integers(1, 5000, 500)
-    table = spark.createDataFrame(list(zip(key.view(np.int64).tolist(), c.tolist(), strict=True)), "w long, c long")
-    model = lm.build_filter(table, table.limit(0), (1.0, 1.0))
-    got, true = model.levels(key), lm.LogFrequencyFilter.level(c, 1.0)
+    model = lm.LogFrequencyFilter.of(key, c)
+    got, true = model.levels(key), lm.LogFrequencyFilter.level(c)
     assert (got >= true).all()
-    assert (got == true).mean() > 0.85
-    assert (model.levels(rng.integers(0, 2**63, 2000, dtype=np.uint64)) > 0).mean() < 0.2
+    assert (got == true).mean() > 0.95
+    assert (model.levels(rng.integers(0, 2**63, 2000, dtype=np.uint64)) > 0).mean() < 0.02
+    assert (lm._unpack(lm._pack(key)) == key % 2**48).all()
+
+
+def test_lm_probabilities_after_a_word_sum_to_about_one():
+    """Quantised counts are within half a step of the true ones, so the sum is within one step of 1."""
+    rng = random.Random(4)
+    text = [rng.choice("abcdefghij") for _ in range(3000)]
+    one, two = Counter(text), Counter(zip(text, text[1:], strict=False))
+    level = lambda c: lm.LogFrequencyFilter.level(np.array([c]))[0] if c else 0
+    for b in one:
+        levels = np.array([[level(one[w]), level(one[b]), level(two[b, w])] for w in one])
+        total = (10 ** lm.log_probabilities(*levels.T, len(text), len(one))).sum()
+        assert 1 / lm.STEP < total < lm.STEP
 
 
 def test_lm_prefers_what_it_has_seen(spark):
@@ -541,18 +562,17 @@ def quantised_lm(rows):
     return sorted(((i, sum(math.log10(p(b, t)) for b, t in zip(w[:-1], w[1:], strict=True))) for (i, _), w in zip(rows, toks, strict=True)), key=repr)
 
 
-@pytest.mark.parametrize("floor", [lm.FLOOR, 2e-3])
-@pytest.mark.parametrize("bits", [lm.FILTER_BITS, 0])
-def test_lm_scores_from_every_word_and_pair(docs, rows, monkeypatch, bits, floor):
-    """Whatever is broadcast, the score has all n-grams; only the filter may take an n-gram for a more frequent one."""
-    monkeypatch.setattr(lm, "FILTER_BITS", bits)
-    got, want = by_row(lm.scores(docs, floor), "doc_id", "score"), quantised_lm(rows)
+@pytest.mark.parametrize("sizes", [{}, SMALL])
+@pytest.mark.parametrize("bits", [lm.BITS_PER_PROBE, 100])
+def test_lm_scores_from_every_word_and_pair(docs, rows, sizes, bits):
+    """However batches and shards are cut, the score has all n-grams; only the filter may take an n-gram for a more frequent one."""
+    got, want = by_row(lm.scores(docs, bits_per_probe=bits, **sizes), "doc_id", "score"), quantised_lm(rows)
     by_id = lambda found: sorted(found, key=lambda r: (repr(r[0]), r[1]))
     off = np.array([g[1] - w[1] for g, w in zip(by_id(got), by_id(want), strict=True)])
-    if not bits:
+    if bits == 100:
         assert np.abs(off).max() < 1e-6
     tokens = sum(len(split(t)) + 1 for _, t in rows)
-    assert np.abs(off).sum() < 0.05 * tokens
+    assert np.abs(off).sum() < 0.01 * tokens
 
 
 # -- 9 ---------------------------------------------------------------------

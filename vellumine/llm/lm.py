@@ -1,21 +1,24 @@
-"""Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
+"""Language-model scores from a sharded log-frequency Bloom filter of quantised n-gram counts.
 
-Counts cover all training documents: every word and every pair of adjacent tokens counts, however
-rare, at any corpus size. Both are counted exactly by shuffles of pre-aggregated (hash, count) rows.
-A count in the j-th power step of ``STEP`` is quantised to that step's geometric middle.
-Probabilities interpolate the pair estimate with the smoothed word estimate.
+Every word and every pair of adjacent tokens of the training documents counts, however rare, at any
+corpus size. The filter of all of them grows with the corpus, so no worker could hold it whole. It is
+cut into shards by key, and each shard goes to one task together with everything that is asked of it:
 
-Where the levels of all n-grams fit a filter of ``2**FILTER_BITS`` bits, the filter is broadcast: an
-n-gram sets the bits of levels 1 to j, a reader probes level after level until one is missing. Beyond
-that, n-grams of relative frequency ``FLOOR`` or more (at most 1 / FLOOR words and as many pairs) are
-broadcast as exact tables, and occurrences of all others are joined with the counts by key and summed
-by document. A document's score is a sum of word terms and of pair terms, so neither join needs
-the other. The base score always takes the exact counts of words in that way.
+1. Documents are taken in batches of about ``BATCH_TOKENS`` tokens. A batch sends each shard the distinct
+   keys that it has there, with their training counts in the batch: a pair that a third of all texts
+   hold is one key a batch, so no shard is hot.
+2. A shard's task adds the counts up, exactly, and builds its filter: a count in the j-th power step
+   of ``STEP`` sets the bits of levels 1 to j. Then it probes level after level for each key it was
+   sent until one is missing. The last level found stands for its step's geometric middle.
+3. Levels, and exact counts of words, go back to the batches, where probabilities interpolate the pair
+   estimate with the smoothed word estimate. The base score takes the exact counts.
+
+Nothing is broadcast, and texts are read once. Messages are packed arrays, never more than the tokens.
 
 Tokens are words outside ``[\\x20\\x09-\\x0D]``, A-Z lower-cased, then one end token. Edge cases: a null
 or empty text has the end token alone; a null doc_id counts as the empty string for the fold; an
-empty training set knows no token; repeated rows each count and get equal scores; further columns
-are ignored.
+empty training set knows no token; an empty table gives no rows; a text longer than a batch is a
+batch of its own; repeated rows each count and get equal scores; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,21 +29,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellumine.llm import textarrays as X
-from vellumine.llm.bitmaps import gathered, has
-from vellumine.llm.scratch import staged
+from vellumine.llm.bitmaps import has
+from vellumine.llm.scratch import in_batches, staged
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
-#: Least relative frequency of words and pairs that are broadcast as exact tables; rarer ones are joined.
-FLOOR = 2.0**-22
-#: The largest filter that is broadcast, as a power of two: 8 MB.
-FILTER_BITS = 26
-STEP, PROBES, BITS_PER_PROBE = 1.5, 3, 4
+#: Tokens of a batch, and bytes of text whose n-grams a shard has about.
+BATCH_TOKENS, SHARD_BYTES = 1 << 20, 8 << 20
+STEP, PROBES, BITS_PER_PROBE = 1.5, 4, 6
 #: The share of the pair estimate where the word before is known.
 MIX = 0.7
+#: What keeps words and pairs apart in a filter.
+_WORD, _PAIR = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D)
+#: Rows of the batches' table: keys for a shard, the shards of a batch's keys, documents.
+_KEYS, _HEAD, _DOC = 0, 1, 2
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -58,59 +65,6 @@ def _pair(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return X.mix(before * np.uint64(0x9E3779B97F4A7C15) + token)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(w, c, every): each token's count in training documents and in all."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-            found, weight = [], []
-            for a, b, token, first in _tokens(batch.column("text")):
-                found.append(token)
-                weight.append(np.repeat(train[a:b], np.diff(np.append(first, len(token)))))
-            if found:
-                w, at = np.unique(np.concatenate(found), return_inverse=True)
-                c = np.bincount(at, np.concatenate(weight), len(w)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c), pa.array(np.bincount(at, minlength=len(w)).astype(np.int64))], ["w", "c", "every"])
-
-    parts = docs.select("text", "held_out").mapInArrow(count, "w long, c long, every long")
-    return parts.groupBy("w").agg(F.sum("c").alias("c"), F.sum("every").alias("every"))
-
-
-def pair_counts(docs: DataFrame, frequent) -> DataFrame:
-    """(w, c, before, token, rare_before, rare_token) of all adjacent tokens in training documents.
-
-    ``before`` and ``token`` are the words' training counts if in the broadcast ``frequent``; a word
-    outside it is named in ``rare_before`` or ``rare_token`` instead.
-    """
-    names = ["before", "token", "rare_before", "rare_token"]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = frequent.value
-        for batch in batches:
-            found = [token for _, _, token, _ in _tokens(batch.column("text"))]
-            if found:
-                token = np.concatenate(found)  # each row ends with END, the word before the next row's first
-                before = np.append(END, token[:-1])
-                w, at, c = np.unique(_pair(before, token), return_index=True, return_counts=True)
-                words = [before[at], token[at]]
-                where = [_find(known, x) for x in words]
-                exact = [pa.array(counts[np.maximum(k, 0)] if len(counts) else np.zeros(len(k), np.int64), mask=k < 0) for k in where]
-                rare = [pa.array(x.view(np.int64), mask=k >= 0) for x, k in zip(words, where, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c), *exact, *rare], ["w", "c", *names])
-
-    found = docs.filter(~F.col("held_out")).select("text").mapInArrow(count, "w long, c long, before long, token long, rare_before long, rare_token long")
-    return found.groupBy("w").agg(F.sum("c").alias("c"), *(F.max(k).alias(k) for k in names))
-
-
-def _find(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where each wanted value stands in the sorted array, or -1."""
-    if not len(known):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-    return np.where(known[at] == wanted, at, -1)
-
-
 def _positions(key: np.ndarray, level: np.ndarray, bits: int) -> list[np.ndarray]:
     h = X.mix(key + level.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     step = X.mix(h) | np.uint64(1)
@@ -119,173 +73,256 @@ def _positions(key: np.ndarray, level: np.ndarray, bits: int) -> list[np.ndarray
 
 @dataclass
 class LogFrequencyFilter:
-    """Levels of n-grams. ``floor`` is the least count of each order, words first."""
+    """Levels of n-grams in a bitmap: never below the true level, above it for few keys."""
 
     bitmap: np.ndarray
-    floor: tuple[float, float]
+
+    @classmethod
+    def of(cls, key: np.ndarray, count: np.ndarray, bits_per_probe: int = BITS_PER_PROBE) -> LogFrequencyFilter:
+        """From distinct keys and their counts, all 1 or more."""
+        top = cls.level(count)
+        bits = max(10, math.ceil(math.log2(max(1, int(top.sum())) * PROBES * bits_per_probe)))
+        marks = np.zeros(1 << bits, bool)
+        for j in range(1, int(top.max(initial=0)) + 1):
+            for p in _positions(key[top >= j], np.full(int((top >= j).sum()), j), bits):
+                marks[p.astype(np.int64)] = True
+        return cls(np.packbits(marks))
 
     @property
     def bits(self) -> int:
         return int(len(self.bitmap) * 8).bit_length() - 1
 
     @staticmethod
-    def level(count: np.ndarray, floor: float) -> np.ndarray:
-        return 1 + np.floor(np.log(np.maximum(count / floor, 1)) / math.log(STEP) + 1e-9).astype(np.int64)
+    def level(count: np.ndarray) -> np.ndarray:
+        return 1 + np.floor(np.log(np.maximum(count, 1)) / math.log(STEP) + 1e-9).astype(np.int64)
+
+    @staticmethod
+    def middle(level: np.ndarray) -> np.ndarray:
+        """The count that a level stands for: its step's geometric middle, 0 for none."""
+        return np.where(level > 0, STEP ** (level.astype(np.float64) - 0.5), 0.0)
 
     def levels(self, key: np.ndarray) -> np.ndarray:
-        out, at, j = np.zeros(len(key), np.int64), np.arange(len(key)), 1
-        while len(at):
+        """Membership probes, level after level until one is missing."""
+        out, at, j = np.zeros(len(key), np.uint8), np.arange(len(key)), 1
+        while len(at) and j < 256:
             found = np.ones(len(at), bool)
             for p in _positions(key[at], np.full(len(at), j), self.bits):
-                found &= has(self.bitmap, p)
+                found[found] = has(self.bitmap, p[found])
             at = at[found]
             out[at] = j
             j += 1
         return out
 
-    def count(self, level: np.ndarray, order: int) -> np.ndarray:
-        """The count a level stands for: its step's geometric middle, 0 for none."""
-        return np.where(level > 0, self.floor[order] * STEP ** (level - 0.5), 0.0)
 
+def log_probabilities(word: np.ndarray, before: np.ndarray, pair: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 of tokens' smoothed probabilities, from levels of the token, the word before and the pair."""
+    middle = LogFrequencyFilter.middle
+    alone = (middle(word) + 1) / (n + v + 1)
+    seen = np.where((word > 0) & (before > 0), middle(pair), 0.0)  # a pair is seen only if its words are
+    share = np.minimum(seen / np.maximum(middle(before), 1e-9), 1.0)
+    return np.log10(np.where(before > 0, MIX * share + (1 - MIX) * alone, alone))
 
-def _level(count: Column, floor: float = 1.0) -> Column:
-    return (1 + F.floor(F.log(F.greatest(count / floor, F.lit(1.0))) / math.log(STEP) + 1e-9)).cast("int")
 
+def _shards_of(key: np.ndarray, shards: int) -> np.ndarray:
+    """By the upper half of a mixed hash."""
+    return (((key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int32)
 
-def _quantised(count: Column) -> Column:
-    return F.pow(F.lit(STEP), _level(count) - 0.5)
 
+def _pack(key: np.ndarray) -> bytes:
+    """The lower 48 bits of each key; within a shard they tell pairs apart."""
+    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
-def _entries(words: DataFrame, pairs: DataFrame, floor: tuple[float, float]) -> DataFrame:
-    return words.select("w", _level(F.col("c"), floor[0]).alias("top")).union(pairs.select("w", _level(F.col("c"), floor[1]).alias("top")))
 
+def _unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
-def filter_bits(words: DataFrame, pairs: DataFrame, floor: tuple[float, float]) -> int:
-    """log2 of the bits of the filter of these words and pairs."""
-    n = _entries(words, pairs, floor).agg(F.sum("top")).first()[0] or 1
-    return max(16, math.ceil(math.log2(n * PROBES * BITS_PER_PROBE)))
 
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order of their first place, the number of each key)."""
+    distinct, first, at = np.unique(key, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return distinct[order], rank[at]
 
-def build_filter(words: DataFrame, pairs: DataFrame, floor: tuple[float, float]) -> LogFrequencyFilter:
-    """From (w, c) of the words and pairs."""
-    entries = _entries(words, pairs, floor)
-    bits = filter_bits(words, pairs, floor)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            top = batch.column("top").to_numpy()
-            key = np.repeat(batch.column("w").to_numpy().view(np.uint64), top)
-            level = np.arange(len(key)) - np.repeat(np.cumsum(top) - top, top) + 1
-            bit = np.unique(np.concatenate(_positions(key, level, bits))) if len(key) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(bit), np.int32)), pa.array(bit.astype(np.int64))], ["row", "bit"])
-
-    return LogFrequencyFilter(gathered(entries.mapInArrow(place, "row int, bit long"), 1, bits)[0], floor)
-
-
-def log_probabilities(token: np.ndarray, model: LogFrequencyFilter, n: int, v: int) -> np.ndarray:
-    """log10 of each token's smoothed probability after the one before; rows end with END."""
-    distinct, at = np.unique(token, return_inverse=True)
-    level = model.levels(distinct)[at]
-    one = model.count(level, 0)
-    alone = (one + 1) / (n + v + 1)
-    known = np.append(model.levels(np.array([END])), level[:-1]) > 0
-    both = np.flatnonzero(known & (level > 0))  # a pair is seen only if its words are
-    two = np.zeros(len(token))
-    before = np.append(END, token[:-1])
-    two[both] = model.count(model.levels(_pair(before[both], token[both])), 1)
-    context = np.append(model.count(model.levels(np.array([END])), 0), one[:-1])
-    share = np.minimum(two / np.maximum(context, 1e-9), 1.0)
-    return np.log10(np.where(known, MIX * share + (1 - MIX) * alone, alone))
-
-
-def pair_terms(pairs: DataFrame, words: DataFrame, n: int, v: int) -> DataFrame:
-    """(w, gain): what a seen pair adds to log10 of its token's smoothed probability after a known word."""
-    count = words.select(F.col("w").alias("word"), F.col("c").alias("exact"))
-    seldom = pairs.filter("rare_before is not null or rare_token is not null")
-    for side in ("before", "token"):
-        seldom = seldom.join(count, F.col(f"rare_{side}") == F.col("word"), "left").withColumn(side, F.coalesce(side, "exact")).drop("word", "exact")
-    both = pairs.filter("rare_before is null and rare_token is null").unionByName(seldom)
-    alone = (_quantised(F.col("token")) + 1) / (n + v + 1)
-    share = F.least(_quantised(F.col("c")) / _quantised(F.col("before")), F.lit(1.0))
-    return both.select("w", (F.log10(MIX * share + (1 - MIX) * alone) - F.log10((1 - MIX) * alone)).alias("gain"))
-
-
-def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    key, value = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
-    order = np.argsort(key)
-    return key[order], value[order]
-
-
-def _lists(values: np.ndarray, chosen: np.ndarray, first: np.ndarray) -> pa.Array:
-    """The chosen values of each row, whose first ones stand at ``first``."""
-    ends = np.concatenate([[0], np.cumsum(np.add.reduceat(chosen.astype(np.int64), first))])
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[chosen].view(np.int64)))
-
-
-def scores(docs: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    words = staged(word_counts(docs), "words")
-    n, v, every = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("every"), F.lit(0))).first()
-    least = max(1.0, floor * every)
-    common = F.col("every") >= least
-    # at most 1 / floor + 1 rows
-    frequent = spark.sparkContext.broadcast(_sorted(words.filter(common | (F.col("w") == int(END))).select("w", "c").toArrow()))
-    pairs = staged(pair_counts(docs, frequent), "pairs")
-    seen, ones = words.filter("c > 0"), (1.0, 1.0)
-    small = filter_bits(seen, pairs, ones) <= FILTER_BITS
-    held = spark.sparkContext.broadcast(build_filter(seen, pairs, ones) if small else None)
-    # at most 1 / floor rows; as a pair is no more frequent than its words, none has a rare word
-    top = None if small else _sorted(pair_terms(pairs.filter(F.col("c") >= least), words, n, v).toArrow())
-    usual = spark.sparkContext.broadcast(top)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = frequent.value
+def _batches_schema(kind: T.DataType) -> T.StructType:
+    field = T.StructField
+    return T.StructType(
+        [
+            *(field(c, t) for c, t in (("part", T.IntegerType()), ("batch", T.LongType()), ("place", T.IntegerType()), ("doc_id", kind), ("held_out", T.BooleanType()))),
+            *(field(c, T.BinaryType()) for c in ("words", "counts", "pairs", "pair_counts")),
+        ]
+    )
+
+
+def _batched(shards: int, batch_tokens: int):
+    """mapInArrow from (doc_id, text, held_out) to the rows of all batches; ``place`` is a shard's or a document's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        total, number = 0, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        names, kinds = [], []
+
+        def rows(part: int, place: np.ndarray, ids: pa.Array, out: pa.Array, blobs: list[list]) -> pa.RecordBatch:
+            n = len(place)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, number, np.int64)), pa.array(place.astype(np.int32)), ids, out, *(pa.array(b, pa.binary()) for b in blobs)],
+                ["part", "batch", "place", "doc_id", "held_out", "words", "counts", "pairs", "pair_counts"],
+            )
+
+        def close() -> Iterator[pa.RecordBatch]:
+            token = np.concatenate([h[2] for h in held])
+            size = np.concatenate([h[3] for h in held])
+            out = pa.concat_arrays([h[1] for h in held])
+            ids = pa.concat_arrays([h[0] for h in held])
+            train = np.repeat(~out.to_numpy(zero_copy_only=False), size)
+            word, at = _numbered(token)
+            pair, pair_at = _numbered(_pair(np.append(END, token[:-1]), token))  # rows end with END
+            packed = []
+            for key, where, pack in ((word, at, lambda k: k.tobytes()), (pair, pair_at, _pack)):
+                counts = np.bincount(where, train, len(key)).astype(np.uint32)
+                shard = _shards_of(X.mix(key) if key is word else key, shards)
+                order = np.argsort(shard, kind="stable")
+                ends = np.searchsorted(shard[order], np.arange(shards + 1))
+                packed.append((shard, key[order], counts[order], ends, pack))
+            some = np.flatnonzero(np.logical_or(*(np.diff(p[3]) > 0 for p in packed)))
+            blobs = [[], [], [], []]
+            for s in some.tolist():
+                for k, (_, key, counts, ends, pack) in enumerate(packed):
+                    blobs[2 * k].append(pack(key[ends[s] : ends[s + 1]]))
+                    blobs[2 * k + 1].append(counts[ends[s] : ends[s + 1]].tobytes())
+            blank = lambda n: (pa.nulls(n, kinds[0]), pa.nulls(n, pa.bool_()))
+            yield rows(_KEYS, some, *blank(len(some)), blobs)
+            heads = [packed[0][0].astype(np.uint32).tobytes(), packed[1][0].astype(np.uint32).tobytes()]
+            yield rows(_HEAD, np.zeros(1), *blank(1), [heads[:1], [None], heads[1:], [None]])
+            # a new pair has the next number, so 0; others tell how far back they were numbered
+            new = np.zeros(len(pair_at), bool)
+            new[np.unique(pair_at, return_index=True)[1]] = True
+            back = ((np.cumsum(new) - new) - pair_at).astype(np.uint32)
+            at, ends = at.astype(np.uint32), np.append(0, np.cumsum(size))
+            for a in range(0, len(size), 1024):
+                b = min(a + 1024, len(size))
+                spans = list(zip(ends[a:b].tolist(), ends[a + 1 : b + 1].tolist(), strict=True))
+                blobs = [[at[x:y].tobytes() for x, y in spans], [None] * (b - a), [back[x:y].tobytes() for x, y in spans], [None] * (b - a)]
+                yield rows(_DOC, np.arange(a, b), ids.slice(a, b - a), out.slice(a, b - a), blobs)
+
         for batch in batches:
+            kinds[:] = [batch.column("doc_id").type]
             for a, b, token, first in _tokens(batch.column("text")):
-                at = _find(known, token)
-                c = np.where(at >= 0, counts[at] if len(counts) else 0, 0)
-                rare = at < 0
-                link = np.zeros(len(token), bool)
-                pair = np.zeros(len(token), np.uint64)
-                if small:
-                    value = log_probabilities(token, held.value, n, v)
+                held.append((batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), token, np.diff(np.append(first, len(token)))))
+                total += len(token)
+                if total >= batch_tokens:
+                    yield from close()
+                    held, total, number = [], 0, number + 1
+        if held:
+            yield from close()
+
+    return run
+
+
+def _answered(bits_per_probe: int):
+    """mapInArrow over keys sorted by shard: for each batch the levels of its keys, and its words' exact counts.
+
+    One row of each shard has the shard's training tokens and distinct words; 0 elsewhere.
+    """
+
+    def answer(rows: list[tuple]) -> pa.RecordBatch:
+        words, counts, pairs, pair_counts = ([np.frombuffer(r[k], t) for r in rows] for k, t in ((2, np.uint64), (3, np.uint32), (4, np.uint8), (5, np.uint32)))
+        ends, pair_ends = (np.append(0, np.cumsum([len(x) for x in part])) for part in (counts, pair_counts))
+        word, at = np.unique(np.concatenate(words), return_inverse=True)
+        pair, pair_at = np.unique(_unpack(np.concatenate(pairs).tobytes()), return_inverse=True)
+        c = np.bincount(at, np.concatenate(counts), len(word)).astype(np.int64)
+        p = np.bincount(pair_at, np.concatenate(pair_counts), len(pair)).astype(np.int64)
+        key, many = np.concatenate([X.mix(word + _WORD), X.mix(pair + _PAIR)]), np.concatenate([c, p])
+        levels = LogFrequencyFilter.of(key[many > 0], many[many > 0], bits_per_probe).levels(key)
+        found = [c[at], levels[: len(word)][at], levels[len(word) :][pair_at]]
+        cuts = [[x[a:b].tobytes() for a, b in zip(e[:-1].tolist(), e[1:].tolist(), strict=True)] for x, e in zip(found, (ends, ends, pair_ends), strict=True)]
+        first = np.arange(len(rows)) == 0
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array(x, pa.binary()) for x in cuts), pa.array(first * int(c.sum())), pa.array(first * int((c > 0).sum()))],
+            ["batch", "place", "words", "counts", "pairs", "n", "v"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("batch", "place", "words", "counts", "pairs", "pair_counts")), strict=True):
+                if rows and row[1] != rows[0][1]:
+                    yield answer(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield answer(rows)
+
+    return run
+
+
+def _scored(n: int, v: int):
+    """mapInArrow over rows sorted by batch, part and place: answers, then the shards of the keys, then documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers: list[tuple] = []
+        exact = level = pair_level = None
+        numbered = 0
+        for batch in batches:
+            part, number = batch.column("part").to_numpy(), batch.column("batch").to_numpy()
+            blobs = {c: batch.column(c) for c in ("words", "counts", "pairs")}
+            docs = np.flatnonzero(part == _DOC)
+            pieces = []
+            k = 0
+            while k < len(part):
+                if part[k] == _KEYS:
+                    answers.append(tuple(blobs[c][k].as_py() for c in ("words", "counts", "pairs")))
+                    k += 1
+                elif part[k] == _HEAD:
+                    word_shard, pair_shard = (np.frombuffer(blobs[c][k].as_py(), np.uint32) for c in ("words", "pairs"))
+                    joined = [np.frombuffer(b"".join(a[j] for a in answers), t) for j, t in enumerate((np.int64, np.uint8, np.uint8))]
+                    exact, level, pair_level = np.empty(len(word_shard), np.int64), np.empty(len(word_shard), np.uint8), np.empty(len(pair_shard), np.uint8)
+                    order = np.argsort(word_shard, kind="stable")
+                    exact[order], level[order] = joined[0], joined[1]
+                    pair_level[np.argsort(pair_shard, kind="stable")] = joined[2]
+                    answers, numbered = [], 0
+                    k += 1
                 else:
-                    middle = STEP ** (LogFrequencyFilter.level(c, 1.0) - 0.5)
-                    value = np.where(c > 0, np.log10(middle + 1) + math.log10(1 - MIX), 0.0)  # a row's words before are its tokens
-                    may = rare | (c > 0)
-                    end = _find(known, np.array([END]))[0]
-                    may &= np.append(end >= 0 and counts[end] > 0, may[:-1])
-                    pair = _pair(np.append(END, token[:-1]), token)
-                    key, gain = usual.value
-                    there = np.where(may, _find(key, pair), -1)
-                    value += np.where(there >= 0, gain[there] if len(gain) else 0.0, 0.0)
-                    link = may & (there < 0)
-                sums = [np.diff(np.append(first, len(token))), np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(np.log10(c + 1.0), first), np.add.reduceat(value, first)]
-                own = [batch.column(k).slice(a, b - a) for k in ("doc_id", "held_out")]
-                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, sums), _lists(token, rare, first), _lists(pair, link, first)], ["doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare", "links"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>, links array<long>")
-    scored = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rest = words.filter(~common & (F.col("c") > 0)).select("w", "c")
-    terms = [F.count("*").alias("more_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_logs"), F.sum(F.log10(_quantised(F.col("c")) + 1) + math.log10(1 - MIX)).alias("more_score")]
-    seldom = scored.select("row", F.explode("rare").alias("w")).join(rest, "w").groupBy("row").agg(*terms)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    out = scored.drop("rare", "links").join(seldom, "row", "left")
-    total = F.col("score")
-    if not small:
-        gains = pair_terms(pairs.filter(F.col("c") < least), words, n, v)
-        linked = scored.select("row", F.explode("links").alias("w")).join(gains, "w").groupBy("row").agg(F.sum("gain").alias("more_gain"))
-        out = out.join(linked, "row", "left")
-        total = total + zero("more_score") + zero("more_gain") - F.col("n_tokens") * math.log10(n + v + 1)
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + zero("more_known")).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") + zero("more_logs") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
-        total.alias("score"),
-    )
+                    end = k + int(np.argmax(np.append((part[k:] != _DOC) | (number[k:] != number[k]), True)))
+                    words = blobs["words"].slice(k, end - k).to_pylist()
+                    size = np.array([len(w) // 4 for w in words], np.int64)
+                    at = np.frombuffer(b"".join(words), np.uint32).astype(np.int64)
+                    back = np.frombuffer(b"".join(blobs["pairs"].slice(k, end - k).to_pylist()), np.uint32).astype(np.int64)
+                    new = np.cumsum(back == 0)
+                    pair_at = numbered + new - (back == 0) - back
+                    numbered += int(new[-1])
+                    first = np.append(0, np.cumsum(size)[:-1])
+                    c, one = exact[at], level[at]
+                    value = log_probabilities(one, np.append(one[-1:], one[:-1]), pair_level[pair_at], n, v)  # rows end with END
+                    pieces.append((size, *(np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), np.log10((c + 1.0) / (n + v + 1)), value))))
+                    k = end
+            if len(docs):
+                sums = [np.concatenate(x) for x in zip(*pieces, strict=True)]
+                own = [batch.column(c).take(pa.array(docs)) for c in ("doc_id", "held_out")]
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
+
+
+def scores(docs: DataFrame, batch_tokens: int = BATCH_TOKENS, shard_bytes: int = SHARD_BYTES, bits_per_probe: int = BITS_PER_PROBE) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(4 * n_parts, -(-size // shard_bytes))
+    schema = _batches_schema(docs.schema["doc_id"].dataType)
+    rows = staged(in_batches(docs).mapInArrow(_batched(shards, batch_tokens), schema), "lm-batches", "zstd")
+    asked = rows.filter(F.col("part") == _KEYS).select("batch", "place", "words", "counts", "pairs", "pair_counts")
+    met = asked.repartition(n_parts, "place").sortWithinPartitions("place")
+    answers = staged(met.mapInArrow(_answered(bits_per_probe), "batch long, place int, words binary, counts binary, pairs binary, n long, v long"), "lm-answers", "zstd")
+    n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    blank = lambda c: F.lit(None).cast(schema[c].dataType).alias(c)
+    columns = ("part", "batch", "place", "doc_id", "held_out", "words", "counts", "pairs")
+    back = answers.select(F.lit(_KEYS).alias("part"), "batch", "place", blank("doc_id"), blank("held_out"), "words", "counts", "pairs")
+    home = rows.filter(F.col("part") != _KEYS).select(*columns).union(back).repartition(n_parts, "batch").sortWithinPartitions("batch", "part", "place")
+    out = T.StructType([schema["doc_id"], schema["held_out"], *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))])
+    return home.mapInArrow(_scored(n, v), out).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

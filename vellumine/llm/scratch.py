@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows with texts in an Arrow batch, in the JVM's memory and the worker's.
+BATCH_ROWS = 1024
 _written: list[str] = []
 
 
@@ -29,11 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session hands Python at most ``BATCH_ROWS`` rows at a time: whole texts stand in them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def staged(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.option("compression", codec) if codec else df.write
+    writer.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
