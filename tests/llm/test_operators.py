@@ -523,7 +523,8 @@ def test_lm_filter_never_underestimates():
     assert (got >= true).all()
     assert (got == true).mean() > 0.95
     assert (model.levels(rng.integers(0, 2**63, 2000, dtype=np.uint64)) > 0).mean() < 0.02
-    assert (lm._unpack(lm._pack(key)) == key % 2**48).all()
+    assert (lm._unpack(lm._pack(key)) == key % 2**40).all()
+    assert (lm._unsqueezed(lm._squeezed(c)) == c).all() and not len(lm._unsqueezed(lm._squeezed(c[:0])))
 
 
 def test_lm_probabilities_after_a_word_sum_to_about_one():

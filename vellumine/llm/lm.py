@@ -13,7 +13,8 @@ cut into shards by key, and each shard goes to one task together with everything
 3. Levels, and exact counts of words, go back to the batches, where probabilities interpolate the pair
    estimate with the smoothed word estimate. The base score takes the exact counts.
 
-Nothing is broadcast, and texts are read once. Messages are packed arrays, never more than the tokens.
+Nothing is broadcast, and texts are read once: batches are written as numbers of their words. Messages
+are packed arrays, never of more keys than there are tokens.
 
 Tokens are words outside ``[\\x20\\x09-\\x0D]``, A-Z lower-cased, then one end token. Edge cases: a null
 or empty text has the end token alone; a null doc_id counts as the empty string for the fold; an
@@ -40,14 +41,13 @@ from vellumine.llm.scratch import in_batches, staged
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 #: Tokens of a batch, and bytes of text whose n-grams a shard has about.
-BATCH_TOKENS, SHARD_BYTES = 1 << 20, 8 << 20
+BATCH_TOKENS, SHARD_BYTES = 1 << 21, 8 << 20
 STEP, PROBES, BITS_PER_PROBE = 1.5, 4, 6
 #: The share of the pair estimate where the word before is known.
 MIX = 0.7
 #: What keeps words and pairs apart in a filter.
 _WORD, _PAIR = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D)
-#: Rows of the batches' table: keys for a shard, the shards of a batch's keys, documents.
-_KEYS, _HEAD, _DOC = 0, 1, 2
+_PAIR_BYTES = 5
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -129,96 +129,101 @@ def _shards_of(key: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _pack(key: np.ndarray) -> bytes:
-    """The lower 48 bits of each key; within a shard they tell pairs apart."""
-    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    """The lower 40 bits of each key; within a shard they tell pairs apart but for one in a million."""
+    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_PAIR_BYTES]).tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw) // _PAIR_BYTES, 8), np.uint8)
+    out[:, :_PAIR_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, _PAIR_BYTES)
     return out.view("<u8").ravel()
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte of their places, compressed."""
+    planes = [_codec().compress(x.tobytes(), asbytes=True) for x in np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)]
+    return np.array([len(numbers), *map(len, planes)], "<u8").tobytes() + b"".join(planes)
+
+
+def _unsqueezed(raw: bytes) -> np.ndarray:
+    n, *sizes = np.frombuffer(raw[:40], "<u8").tolist()
+    out, at = np.empty((n, 4), np.uint8), 40
+    for k, size in enumerate(sizes):
+        out[:, k] = np.frombuffer(_codec().decompress(raw[at : at + size], n, asbytes=True), np.uint8) if n else 0
+        at += size
+    return out.view("<u4").ravel()
+
+
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
+
+
 def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct keys in order of their first place, the number of each key)."""
     distinct, first, at = np.unique(key, return_index=True, return_inverse=True)
     order = np.argsort(first)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
     return distinct[order], rank[at]
 
 
-def _batches_schema(kind: T.DataType) -> T.StructType:
-    field = T.StructField
-    return T.StructType(
-        [
-            *(field(c, t) for c, t in (("part", T.IntegerType()), ("batch", T.LongType()), ("place", T.IntegerType()), ("doc_id", kind), ("held_out", T.BooleanType()))),
-            *(field(c, T.BinaryType()) for c in ("words", "counts", "pairs", "pair_counts")),
-        ]
-    )
+def _pairs_of(word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbered pairs of a batch's tokens; documents end with END."""
+    token = word[at]
+    return _numbered(_pair(np.append(END, token[:-1]), token))
 
 
-def _batched(shards: int, batch_tokens: int):
-    """mapInArrow from (doc_id, text, held_out) to the rows of all batches; ``place`` is a shard's or a document's number."""
+def _batched(batch_tokens: int):
+    """mapInArrow from (doc_id, text, held_out) to one row a batch.
+
+    ``words`` are its distinct tokens, ``tokens`` the number of each token among them, ``sizes`` the
+    documents' token counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         total, number = 0, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        names, kinds = [], []
-
-        def rows(part: int, place: np.ndarray, ids: pa.Array, out: pa.Array, blobs: list[list]) -> pa.RecordBatch:
-            n = len(place)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, number, np.int64)), pa.array(place.astype(np.int32)), ids, out, *(pa.array(b, pa.binary()) for b in blobs)],
-                ["part", "batch", "place", "doc_id", "held_out", "words", "counts", "pairs", "pair_counts"],
-            )
-
-        def close() -> Iterator[pa.RecordBatch]:
-            token = np.concatenate([h[2] for h in held])
-            size = np.concatenate([h[3] for h in held])
-            out = pa.concat_arrays([h[1] for h in held])
-            ids = pa.concat_arrays([h[0] for h in held])
-            train = np.repeat(~out.to_numpy(zero_copy_only=False), size)
-            word, at = _numbered(token)
-            pair, pair_at = _numbered(_pair(np.append(END, token[:-1]), token))  # rows end with END
-            packed = []
-            for key, where, pack in ((word, at, lambda k: k.tobytes()), (pair, pair_at, _pack)):
-                counts = np.bincount(where, train, len(key)).astype(np.uint32)
-                shard = _shards_of(X.mix(key) if key is word else key, shards)
-                order = np.argsort(shard, kind="stable")
-                ends = np.searchsorted(shard[order], np.arange(shards + 1))
-                packed.append((shard, key[order], counts[order], ends, pack))
-            some = np.flatnonzero(np.logical_or(*(np.diff(p[3]) > 0 for p in packed)))
-            blobs = [[], [], [], []]
-            for s in some.tolist():
-                for k, (_, key, counts, ends, pack) in enumerate(packed):
-                    blobs[2 * k].append(pack(key[ends[s] : ends[s + 1]]))
-                    blobs[2 * k + 1].append(counts[ends[s] : ends[s + 1]].tobytes())
-            blank = lambda n: (pa.nulls(n, kinds[0]), pa.nulls(n, pa.bool_()))
-            yield rows(_KEYS, some, *blank(len(some)), blobs)
-            heads = [packed[0][0].astype(np.uint32).tobytes(), packed[1][0].astype(np.uint32).tobytes()]
-            yield rows(_HEAD, np.zeros(1), *blank(1), [heads[:1], [None], heads[1:], [None]])
-            # a new pair has the next number, so 0; others tell how far back they were numbered
-            new = np.zeros(len(pair_at), bool)
-            new[np.unique(pair_at, return_index=True)[1]] = True
-            back = ((np.cumsum(new) - new) - pair_at).astype(np.uint32)
-            at, ends = at.astype(np.uint32), np.append(0, np.cumsum(size))
-            for a in range(0, len(size), 1024):
-                b = min(a + 1024, len(size))
-                spans = list(zip(ends[a:b].tolist(), ends[a + 1 : b + 1].tolist(), strict=True))
-                blobs = [[at[x:y].tobytes() for x, y in spans], [None] * (b - a), [back[x:y].tobytes() for x, y in spans], [None] * (b - a)]
-                yield rows(_DOC, np.arange(a, b), ids.slice(a, b - a), out.slice(a, b - a), blobs)
+
+        def close() -> pa.RecordBatch:
+            word, at = _numbered(np.concatenate([h[2] for h in held]))
+            size = np.concatenate([h[3] for h in held]).astype("<u4")
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), pa.concat_arrays([h[k] for h in held])) for k in (0, 1)]
+            blobs = [pa.array([x], pa.binary()) for x in (size.tobytes(), word.tobytes(), _squeezed(at))]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, *blobs], ["batch", "doc_id", "held_out", "sizes", "words", "tokens"])
 
         for batch in batches:
-            kinds[:] = [batch.column("doc_id").type]
             for a, b, token, first in _tokens(batch.column("text")):
                 held.append((batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), token, np.diff(np.append(first, len(token)))))
                 total += len(token)
                 if total >= batch_tokens:
-                    yield from close()
+                    yield close()
                     held, total, number = [], 0, number + 1
         if held:
-            yield from close()
+            yield close()
+
+    return run
+
+
+def _asking(shards: int):
+    """mapInArrow from batches to the keys that each sends to each shard (``place``), with their training counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                word, size = np.frombuffer(batch.column("words")[k].as_py(), np.uint64), np.frombuffer(batch.column("sizes")[k].as_py(), "<u4")
+                at = _unsqueezed(batch.column("tokens")[k].as_py())
+                train = np.repeat(~batch.column("held_out")[k].values.to_numpy(zero_copy_only=False), size)
+                pair, pair_at = _pairs_of(word, at)
+                packed = []
+                for key, where, mixed, pack in ((word, at, X.mix(word), np.ndarray.tobytes), (pair, pair_at, pair, _pack)):
+                    counts = np.bincount(where, train, len(key)).astype(np.uint32)
+                    shard = _shards_of(mixed, shards)
+                    order = np.argsort(shard, kind="stable")
+                    packed.append((key[order], counts[order], np.searchsorted(shard[order], np.arange(shards + 1)), pack))
+                some = np.flatnonzero(np.logical_or(*(np.diff(p[2]) > 0 for p in packed)))
+                blobs = [[f(x[e[s] : e[s + 1]]) for s in some.tolist()] for key, counts, e, pack in packed for x, f in ((key, pack), (counts, np.ndarray.tobytes))]
+                number = pa.array(np.full(len(some), batch.column("batch")[k].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([number, pa.array(some.astype(np.int32)), *(pa.array(b, pa.binary()) for b in blobs)], ["batch", "place", "words", "counts", "pairs", "pair_counts"])
 
     return run
 
@@ -260,50 +265,34 @@ def _answered(bits_per_probe: int):
     return run
 
 
-def _scored(n: int, v: int):
-    """mapInArrow over rows sorted by batch, part and place: answers, then the shards of the keys, then documents."""
+def _scored(shards: int, n: int, v: int):
+    """mapInArrow over rows sorted by batch: each batch's answers in order of shards, then itself."""
+
+    def score(row: dict, answers: list[tuple]) -> pa.RecordBatch:
+        word, size = np.frombuffer(row["words"].as_py(), np.uint64), np.frombuffer(row["sizes"].as_py(), "<u4").astype(np.int64)
+        at = _unsqueezed(row["tokens"].as_py())
+        pair, pair_at = _pairs_of(word, at)
+        joined = [np.frombuffer(b"".join(a[j] for a in answers), t) for j, t in enumerate((np.int64, np.uint8, np.uint8))]
+        exact, level, pair_level = np.empty(len(word), np.int64), np.empty(len(word), np.uint8), np.empty(len(pair), np.uint8)
+        order = np.argsort(_shards_of(X.mix(word), shards), kind="stable")
+        exact[order], level[order] = joined[0], joined[1]
+        pair_level[np.argsort(_shards_of(pair, shards), kind="stable")] = joined[2]
+        ends = np.append(0, np.cumsum(size))
+        first, c, one = ends[:-1], exact[at], level[at]
+        value = log_probabilities(one, np.append(one[-1:], one[:-1]), pair_level[pair_at], n, v)
+        sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), np.log10((c + 1.0) / (n + v + 1)), value)]
+        return pa.RecordBatch.from_arrays([row["doc_id"].values, row["held_out"].values, *map(pa.array, (size, *sums))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers: list[tuple] = []
-        exact = level = pair_level = None
-        numbered = 0
         for batch in batches:
-            part, number = batch.column("part").to_numpy(), batch.column("batch").to_numpy()
-            blobs = {c: batch.column(c) for c in ("words", "counts", "pairs")}
-            docs = np.flatnonzero(part == _DOC)
-            pieces = []
-            k = 0
-            while k < len(part):
-                if part[k] == _KEYS:
-                    answers.append(tuple(blobs[c][k].as_py() for c in ("words", "counts", "pairs")))
-                    k += 1
-                elif part[k] == _HEAD:
-                    word_shard, pair_shard = (np.frombuffer(blobs[c][k].as_py(), np.uint32) for c in ("words", "pairs"))
-                    joined = [np.frombuffer(b"".join(a[j] for a in answers), t) for j, t in enumerate((np.int64, np.uint8, np.uint8))]
-                    exact, level, pair_level = np.empty(len(word_shard), np.int64), np.empty(len(word_shard), np.uint8), np.empty(len(pair_shard), np.uint8)
-                    order = np.argsort(word_shard, kind="stable")
-                    exact[order], level[order] = joined[0], joined[1]
-                    pair_level[np.argsort(pair_shard, kind="stable")] = joined[2]
-                    answers, numbered = [], 0
-                    k += 1
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in ("doc_id", "held_out", "sizes", "words", "tokens", "counts", "pairs")}
+                if row["sizes"].is_valid:
+                    yield score(row, answers)
+                    answers = []
                 else:
-                    end = k + int(np.argmax(np.append((part[k:] != _DOC) | (number[k:] != number[k]), True)))
-                    words = blobs["words"].slice(k, end - k).to_pylist()
-                    size = np.array([len(w) // 4 for w in words], np.int64)
-                    at = np.frombuffer(b"".join(words), np.uint32).astype(np.int64)
-                    back = np.frombuffer(b"".join(blobs["pairs"].slice(k, end - k).to_pylist()), np.uint32).astype(np.int64)
-                    new = np.cumsum(back == 0)
-                    pair_at = numbered + new - (back == 0) - back
-                    numbered += int(new[-1])
-                    first = np.append(0, np.cumsum(size)[:-1])
-                    c, one = exact[at], level[at]
-                    value = log_probabilities(one, np.append(one[-1:], one[:-1]), pair_level[pair_at], n, v)  # rows end with END
-                    pieces.append((size, *(np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), np.log10((c + 1.0) / (n + v + 1)), value))))
-                    k = end
-            if len(docs):
-                sums = [np.concatenate(x) for x in zip(*pieces, strict=True)]
-                own = [batch.column(c).take(pa.array(docs)) for c in ("doc_id", "held_out")]
-                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                    answers.append(tuple(row[c].as_py() for c in ("words", "counts", "pairs")))
 
     return run
 
@@ -314,15 +303,16 @@ def scores(docs: DataFrame, batch_tokens: int = BATCH_TOKENS, shard_bytes: int =
     docs = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4 * n_parts, -(-size // shard_bytes))
-    schema = _batches_schema(docs.schema["doc_id"].dataType)
-    rows = staged(in_batches(docs).mapInArrow(_batched(shards, batch_tokens), schema), "lm-batches", "zstd")
-    asked = rows.filter(F.col("part") == _KEYS).select("batch", "place", "words", "counts", "pairs", "pair_counts")
+    ids, flags = T.ArrayType(docs.schema["doc_id"].dataType), T.ArrayType(T.BooleanType())
+    schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("doc_id", ids), T.StructField("held_out", flags), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "words", "tokens"))])
+    rows = staged(in_batches(docs).mapInArrow(_batched(batch_tokens), schema), "lm-batches", "zstd")
+    asked = rows.select("batch", "held_out", "sizes", "words", "tokens").mapInArrow(_asking(shards), "batch long, place int, words binary, counts binary, pairs binary, pair_counts binary")
     met = asked.repartition(n_parts, "place").sortWithinPartitions("place")
     answers = staged(met.mapInArrow(_answered(bits_per_probe), "batch long, place int, words binary, counts binary, pairs binary, n long, v long"), "lm-answers", "zstd")
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    blank = lambda c: F.lit(None).cast(schema[c].dataType).alias(c)
-    columns = ("part", "batch", "place", "doc_id", "held_out", "words", "counts", "pairs")
-    back = answers.select(F.lit(_KEYS).alias("part"), "batch", "place", blank("doc_id"), blank("held_out"), "words", "counts", "pairs")
-    home = rows.filter(F.col("part") != _KEYS).select(*columns).union(back).repartition(n_parts, "batch").sortWithinPartitions("batch", "part", "place")
-    out = T.StructType([schema["doc_id"], schema["held_out"], *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))])
-    return home.mapInArrow(_scored(n, v), out).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    blank = lambda c, t: F.lit(None).cast(t).alias(c)
+    own = rows.select("batch", F.lit(shards).alias("place"), "doc_id", "held_out", "sizes", "words", "tokens", blank("counts", "binary"), blank("pairs", "binary"))
+    back = answers.select("batch", "place", blank("doc_id", ids), blank("held_out", flags), blank("sizes", "binary"), "words", blank("tokens", "binary"), "counts", "pairs")
+    home = own.union(back).repartition(n_parts, "batch").sortWithinPartitions("batch", "place")
+    out = T.StructType([docs.schema["doc_id"], docs.schema["held_out"], *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))])
+    return home.mapInArrow(_scored(shards, n, v), out).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
