@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from vellumine.llm.memo import Memo
+from vellumine.llm.scratch import in_batches
 
 #: Pieces kept by each worker, in each of two generations; pairs of tokens kept.
 CACHE, PAIRS = 100_000, 200_000
@@ -321,19 +322,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, carry: tuple[str,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _pairs(held)
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            for at in range(0, batch.num_rows, 512):  # small batches out: a few of them are held at once
-                some = batch.slice(at, 512)
-                packed = [pairs.encode_packed(t or "") for t in text[at : at + 512].to_pylist()]
-                ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
-                arrays = [*(some.column(c) for c in range(len(carry))), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
-                if decode:
-                    arrays.append(pa.array([pairs.decode(np.frombuffer(p, np.int32).tolist()) for p in packed], pa.binary()))
-                yield pa.RecordBatch.from_arrays(arrays, [*carry, "ids", *["decoded"] * decode])
+            packed = [pairs.encode_packed(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
+            ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+            arrays = [*(batch.column(c) for c in range(len(carry))), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
+            if decode:
+                arrays.append(pa.array([pairs.decode(np.frombuffer(p, np.int32).tolist()) for p in packed], pa.binary()))
+            yield pa.RecordBatch.from_arrays(arrays, [*carry, "ids", *["decoded"] * decode])
 
     kept = docs.select(*carry)
     schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.BinaryType())] * decode])
-    return docs.select(*carry, docs["text"].alias("__text")).mapInArrow(encode, schema)
+    return in_batches(docs.select(*carry, docs["text"].alias("__text"))).mapInArrow(encode, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -347,4 +345,4 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     encoded = encoded.drop("decoded")
-    return encoded.mapInArrow(decode, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return in_batches(encoded).mapInArrow(decode, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))

@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumine.llm.scratch import staged
+from vellumine.llm.scratch import in_batches, staged
 
 #: Frequent keys (16 bytes each, and 3 of filter) sent to every executor at most; more are joined.
 BROADCAST_KEYS = 2_000_000
+#: Keys that a task counts before it passes them on.
+COUNTED = 1 << 18
 #: Frequent keys a shard of the filter holds about.
 KEYS_PER_SHARD = 1 << 18
 #: Copies of each shard's filter that share the lines of a hot key.
@@ -128,14 +130,25 @@ def reference_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """(hi, lo, n_docs): in how many documents each key occurs, exactly."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def close() -> pa.RecordBatch:
+            d, n = np.unique(np.concatenate(held).view("u8,u8").ravel(), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(d["f0"].astype(np.int64)), pa.array(d["f1"].astype(np.int64)), pa.array(n.astype(np.int64))], ["hi", "lo", "n"])
+
         for batch in batches:
             keys: list[bytes] = []
             for text in _texts(batch):
                 keys += {*_keys(text.split(b"\n"), min_chars)} - {b""}
-            d, n = np.unique(_digests(keys).view("u8,u8").ravel(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(d["f0"].astype(np.int64)), pa.array(d["f1"].astype(np.int64)), pa.array(n.astype(np.int64))], ["hi", "lo", "n"])
+            held.append(_digests(keys))
+            total += len(keys)
+            if total >= COUNTED:
+                yield close()
+                held, total = [], 0
+        if held:
+            yield close()
 
-    return docs.select("text").mapInArrow(count, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n_docs"))
+    return in_batches(docs.select("text")).mapInArrow(count, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n_docs"))
 
 
 @dataclass
@@ -215,7 +228,7 @@ class LineIndex:
         docs = docs.select("doc_id", "text", *carry)
         schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
         if self.frequent().count() <= broadcast_keys:
-            return docs.mapInArrow(self._by_broadcast(docs), schema)
+            return in_batches(docs).mapInArrow(self._by_broadcast(docs), schema)
         return self._by_join(docs, schema)
 
     def _by_broadcast(self, docs: DataFrame):
@@ -294,7 +307,7 @@ class LineIndex:
                 yield batch.select(["doc_id", "__hash", "__line", "hi", "lo"]).filter(pa.array(hit))
 
         named = T.StructType([*docs.select("doc_id", "__hash").schema.fields, *(T.StructField(c, T.IntegerType()) for c in ("shard", "salt", "__line")), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("filter", T.BinaryType())])
-        asked = docs.select("doc_id", "__hash", "text").mapInArrow(keyed, named)
+        asked = in_batches(docs.select("doc_id", "__hash", "text")).mapInArrow(keyed, named)
         blank = lambda c: F.lit(None).cast(named[c].dataType).alias(c)
         salted = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         copies = salted.select(blank("doc_id"), blank("__hash"), "shard", "salt", blank("__line"), blank("hi"), blank("lo"), "filter")
@@ -319,7 +332,7 @@ class LineIndex:
                     flags.append(f)
                 yield _without(batch.select(names), lines, flags)
 
-        return joined.mapInArrow(drop, schema)
+        return in_batches(joined).mapInArrow(drop, schema)
 
 
 def _without(batch: pa.RecordBatch, lines: list[list[bytes]], gone: list[np.ndarray]) -> pa.RecordBatch:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from vellumine.llm import textarrays as X
 from vellumine.llm.bitmaps import gathered, has
 from vellumine.llm.components import components
-from vellumine.llm.scratch import clear, staged, written
+from vellumine.llm.scratch import clear, in_batches, staged, written
 
 TREES, DEPTH, LEAST_DEPTH, REGION = 24, 8, 4, 4096
 #: Documents that one task compares at a time, and pivots that all blocks of a cluster share.
@@ -83,7 +83,7 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
                 ["doc_id", "n_shingles", "hi", "lo", "forest"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(describe, f"doc_id {kind}, n_shingles long, hi long, lo long, forest binary")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(describe, f"doc_id {kind}, n_shingles long, hi long, lo long, forest binary")
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +228,7 @@ def _resolve(n: int, percent: int, keys: tuple[str, ...]):
 
 def _confirm(rows: DataFrame, n: int, percent: int, *keys: str) -> DataFrame:
     ordered = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
-    return ordered.select(*keys, "doc_id", "text").mapInArrow(_resolve(n, percent, keys), "u long, v long").filter("u <> v")
+    return in_batches(ordered.select(*keys, "doc_id", "text")).mapInArrow(_resolve(n, percent, keys), "u long, v long").filter("u <> v")
 
 
 def _id_bits(ids: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -260,7 +260,7 @@ def candidate_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(found))
 
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(passing, "doc_id long, text string")
+    return in_batches(texts).mapInArrow(passing, "doc_id long, text string")
 
 
 def confirmed_components(docs: DataFrame, clusters: DataFrame, n: int, percent: int, block: int = BLOCK) -> DataFrame:

@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from vellumine.llm.scratch import in_batches
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 #: Training examples, training passes, LSTM units each way, embedding width.
@@ -379,4 +381,4 @@ def find_spans(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans", "n_added"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_added long")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(find, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_added long")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from vellumine.llm import textarrays as X
 from vellumine.llm.bitmaps import gathered, has
-from vellumine.llm.scratch import staged
+from vellumine.llm.scratch import in_batches, staged
 
 WINDOW, GRAM = 50, 17
 ROWS, CELL_BITS = 2, 36
@@ -75,7 +75,7 @@ def repeated_cells(docs: DataFrame, window: int, gram: int) -> DataFrame:
         if parts:
             yield from emit(parts)
 
-    partial = docs.select("text").mapInArrow(sketch, "row int, cell long, n int")
+    partial = in_batches(docs.select("text")).mapInArrow(sketch, "row int, cell long, n int")
     return partial.groupBy("row", "cell").agg(F.sum("n").alias("n")).filter("n >= 2").select("row", "cell")
 
 
@@ -109,7 +109,7 @@ def candidate_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     )
 
     tagged = docs.filter("doc_id is not null").select("doc_id", "text", _tag().alias("tag"))
-    return tagged.mapInArrow(emit, f"w1 long, w2 int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, place long")
+    return in_batches(tagged).mapInArrow(emit, f"w1 long, w2 int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, place long")
 
 
 def _tag():
@@ -148,4 +148,4 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 [batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"]
             )
 
-    return joined.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_text string")
+    return in_batches(joined).mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_text string")

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from vellumine.llm.bpe import MergeTable
 from vellumine.llm.memo import Memo
+from vellumine.llm.scratch import in_batches
 
 SPACE = "▁"
 #: Characters of a chunk; segments kept by each worker, in each of two generations; states compiled.
@@ -204,4 +205,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     sized = docs.select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
-    return sized.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return in_batches(sized).mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
