@@ -2,18 +2,18 @@
 
 The tagger is a bidirectional LSTM over characters with CRF transitions between BIO tags, trained
 here in numpy by gradient descent on the CRF likelihood of labelled spans. The spans it learns from
-are given, or drawn by ``labelled_examples``: addresses, numbers and phones in usual and unusual
-spellings amid invented prose and harmless numbers, ``EXAMPLES`` of them.
+are given, or drawn by ``labelled_examples``: addresses, numbers, phones and secrets in usual and
+unusual spellings amid invented prose and harmless numbers, ``EXAMPLES`` of them.
 
-Each kind needs digits or an at-sign, so the stretches of a text around those characters are read,
-all of them, to any length: overlapping windows give emission scores, each character takes those of
-the window it is most central in, and one Viterbi pass over the stretch reconciles them. A tagged
-span is added if it touches no pattern match and holds what its kind must hold (digits that pass
-Luhn, an at-sign between words, four numbers up to 255, ten digits after a plus).
+It reads every character of every text. Overlapping windows give emission scores, each character
+takes those of the window it is most central in, and one path over the whole text reconciles them.
+A tagged span is added if it touches no pattern match and keeps the limits of its kind (digits
+that pass Luhn, four numbers up to 255, ten to fifteen digits); a secret is of a kind of its own.
 
 Edge cases: a null text is empty and has no spans; offsets are code points, ends exclusive; matches
 are leftmost and do not overlap within a kind, but kinds may overlap each other; spans follow from
-the text alone, so repeated rows get equal results; further columns are ignored.
+the text alone, so repeated rows get equal results; an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +30,14 @@ from pyspark.sql import DataFrame
 from vellumine.llm.scratch import in_batches
 
 KINDS = ("email", "ip", "card", "phone")
-TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
+#: Kinds that the tagger knows: those of the patterns, and secrets (keys, tokens, passwords).
+TAGGED = (*KINDS, "secret")
+TAGS = ["O", *(f"{p}-{k}" for k in TAGGED for p in "BI")]
 #: Training examples, training passes, LSTM units each way, embedding width.
-EXAMPLES, PASSES, UNITS, EMBED = 900, 12, 12, 10
-WINDOW, STRIDE, AROUND = 64, 32, 24
-_CLASSES = 97
+EXAMPLES, PASSES, UNITS, EMBED = 3000, 16, 10, 10
+#: Characters of a window, and of what its neighbour sees better at either end.
+WINDOW, MARGIN = 256, 16
+_CLASSES = 98
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -42,7 +45,6 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
 
 
 def luhn(digits: str) -> bool:
@@ -83,51 +85,86 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def labelled_examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Texts and their spans, drawn from templates."""
+    """Texts and their spans: prose of random words and harmless numbers, with personal data in usual and unusual spellings."""
     rng = np.random.default_rng(seed)
     pick = lambda options: options[rng.integers(len(options))]
-    letters = "etaoinshrdluécüñ"
-    word = lambda: "".join(pick(letters) for _ in range(rng.integers(2, 9)))
+    some = lambda alphabet, a, b: "".join(pick(alphabet) for _ in range(rng.integers(a, b)))
     number = lambda k: "".join(str(d) for d in rng.integers(0, 10, k))
+    scripts = ("etaoinshrdlu", "etaoinshrdlucmfwypvbgk", "enisratdhulcgmobwfkzäöüß", "eaosrnidltcmupbgvyqhfzjxñíóé", "esaitnrulodcpméèàçêvqfbghjx", "абвгдеиклмнопрст")
+
+    def word() -> str:
+        w = some(pick(scripts), 1, 10)
+        return pick([w, w, w, w, w.title(), w.upper(), w + pick(["***", "%%%", "$$$", "&&&", "###", "!!!", "...", "++", "'s"])])
+
+    def name() -> str:
+        return pick([some(scripts[1], 2, 9), some(scripts[1], 1, 6) + pick("._-") + some(scripts[1], 2, 8), some(scripts[1], 2, 7) + number(rng.integers(1, 4))])
+
+    def domain(dot: str) -> str:
+        host = [some(scripts[1], 2, 10) + pick(["", "", "-" + some(scripts[1], 2, 6), number(1)]) for _ in range(rng.integers(1, 3))]
+        return dot.join([*host, pick(["com", "org", "net", "de", "es", "fr", "edu", "co.uk", "info"])])
 
     def email() -> str:
-        at = pick(["@", "@", " @ ", "(@)"])
-        return word() + pick(["", ".", "_"]) + number(2) + at + word() + pick([".", ".", " . "]) + pick(["com", "org", "example.net"])
+        at, dot = pick([("@", "."), (" @ ", "."), (" @ ", " . "), ("(at)", "."), (" (at) ", "."), (" [at] ", " [dot] "), (" at ", " dot "), (" AT ", " DOT "), ("[@]", "."), ("@ ", "."), (" @", "."), ("＠", ".")])
+        return (name() if rng.random() < 0.8 else some("éñüöàabcdelmn", 3, 9)) + at + domain(dot)
 
     def ip() -> str:
-        return pick([".", ".", " . ", ",", "-"]).join(str(rng.integers(0, 256)) for _ in range(4))
+        return pick([".", ".", " . ", "[.]", "(.)", " .", ". ", ","]).join(str(rng.integers(0, 256)) for _ in range(4))
 
     def card() -> str:
-        head = pick("345") + number(rng.integers(12, 16))
+        head = pick("3456") + number(rng.integers(13, 16))
         full = next(head + str(d) for d in range(10) if luhn(head + str(d)))
-        gap = pick(["", "", " ", "-", ".", "/"])
-        return gap.join(full[i : i + 4] for i in range(0, len(full), 4))
+        return pick(["", " ", "-", ".", "/", "_", "  ", " - ", ":"]).join(full[i : i + 4] for i in range(0, len(full), 4))
 
     def phone() -> str:
-        return pick([f"+1 ({number(3)}) 555-{number(4)}", f"+{number(2)} {number(3)} {number(3)} {number(4)}", f"+{number(2)}/{number(4)}/{number(6)}", f"+ {number(2)} {number(4)}.{number(6)}"])
-
-    makers = dict(zip(KINDS, (email, ip, card, phone), strict=True))
-    harmless = [lambda: number(4), lambda: f"{number(2)}.{number(2)}", lambda: f"{word()}@", lambda: f"{word()}={number(3)}{word()}{number(4)}", lambda: f"{number(1)},{number(3)}", lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: f"{number(12)}"]
+        a, b, c = number(3), number(3), number(4)
+        plus = pick([f"+1 ({a}) {b}-{c}", f"+{number(2)} {a} {b} {c}", f"+{number(2)}/{a}{b}/{c}", f"+ {number(2)} {a}.{b}{c}", f"+{number(2)}-{a}-{b}-{c}", f"+{number(2)}{a}{b}{c}", f"+{number(2)} {a}/{b}{c}", f"+{number(2)}_{a}_{b}_{c}"])
+        called = pick([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"00{number(2)} {a} {b}{c}", f"{a}.{b}.{c}", f"{a} {b} {c}"])
+        return plus if rng.random() < 0.6 else called
+
+    hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def secret() -> tuple[str, str, str]:
+        """What stands before it, the secret itself, what stands after it."""
+        value = pick([some(hexes, 24, 65), some(hexes, 40, 41), some(mixed, 16, 48), "sk_" + some(mixed, 16, 40), "AKIA" + some(mixed[:26] + "0123456789", 16, 17), some(mixed + "-_", 20, 60)])
+        key = pick(["token", "key", "secret", "password", "api_key", "apikey", "passwd", "access_token", "auth", "API_TOKEN", "SECRET_KEY", "pwd", "credential"])
+        quote = pick(['"', '"', "'", ""])
+        return key + pick([" = ", "=", ": ", ":", " := ", " => "]) + quote, value, quote
+
+    makers = {"email": email, "ip": ip, "card": card, "phone": phone}
+    before = {"email": ["mail ", "write to ", "contact: ", "<", ""], "ip": ["host ", "from ", "ip=", "(", ""], "card": ["card ", "visa ", "no. ", "pay with ", ""], "phone": ["tel ", "call ", "phone: ", "Tel.: ", "fax "]}
+    harmless = (
+        *(lambda: number(rng.integers(1, 8)), lambda: f"{number(2)}.{number(2)}", lambda: f"{some(scripts[1], 2, 6)}@", lambda: f"@{some(scripts[1], 2, 9)}", lambda: f"{number(1)},{number(3)},{number(3)}"),
+        *(lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: f"{number(rng.integers(9, 22))}", lambda: f"commit {some(hexes, 40, 41)}", lambda: f"md5 {some(hexes, 32, 33)}", lambda: f"{number(2)}:{number(2)}:{number(2)}"),
+        *(lambda: f"v{number(1)}.{number(1)}.{number(2)}", lambda: f"({number(4)})", lambda: f"{number(3)}-{number(3)}", lambda: f"https://{domain('.')}/{some(scripts[1], 2, 9)}?{some(scripts[1], 1, 4)}={number(5)}", lambda: f"{some(scripts[1], 2, 9)}_{some(scripts[1], 2, 9)} = {number(2)}"),
+        *(lambda: f"isbn {number(3)}-{number(1)}-{number(4)}-{number(4)}-{number(1)}", lambda: f"the {pick(['token', 'key', 'secret', 'password'])} {word()}", lambda: "=" * rng.integers(2, 30), lambda: "-" * rng.integers(2, 30), lambda: some("*%$&#|<>", 2, 9), lambda: f"meet at {word()} dot {word()}"),
+        *(lambda: f"{some(scripts[1], 2, 6)}{number(3)}{some(scripts[1], 1, 5)}", lambda: f"{number(1)}. {word()}", lambda: f"${number(3)}.{number(2)}", lambda: "\n\n", lambda: f"{word()}, {word()}; {word()}:", lambda: f"§{number(2)}.{number(1)}.{number(1)}", lambda: f"<{some(scripts[1], 1, 5)} id=\"{some(scripts[1], 2, 8)}\">"),
+    )
     out = []
     for _ in range(n):
         text, spans = "", []
-        for _ in range(rng.integers(1, 4)):
-            text += " ".join(word() for _ in range(rng.integers(1, 5))) + pick([" ", " ", ": ", "\n"])
-            if rng.random() < 0.6:
-                kind = pick(KINDS)
-                made = makers[kind]()
+        for _ in range(rng.integers(1, 5)):
+            text += "".join(word() + pick([" ", " ", " ", ", ", ". ", "\n"]) for _ in range(rng.integers(0, 6)))
+            if rng.random() < 0.5:
+                kind = pick(TAGGED)
+                lead, made, tail = secret() if kind == "secret" else (pick(before[kind]), makers[kind](), "")
+                text += lead
                 spans.append((kind, len(text), len(text) + len(made)))
-                text += made + pick([" ", " ", ".", ", "])
-            elif rng.random() < 0.6:
-                text += pick(harmless)() + " "
+                text += made + tail + pick([" ", " ", ".", ", ", "\n", ")", ""])
+                text += "" if text[-1] in " \n" else " "
+            elif rng.random() < 0.7:
+                text += pick(harmless)() + pick([" ", " ", "\n"])
         out.append((text, spans))
     return out
 
 
 def classes(text: str) -> np.ndarray:
-    """0: padding; printable ASCII by itself; one class for all else."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.where((code >= 32) & (code < 127), code - 31, _CLASSES - 1)
+    """0: padding; printable ASCII by itself; one class for spaces other than the blank, one for all else."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.full(len(code), _CLASSES - 1, np.uint8)
+    plain = (code >= 32) & (code < 127)
+    out[plain] = code[plain] - 31
+    out[(code >= 9) & (code <= 13)] = _CLASSES - 2
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -139,6 +176,22 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
+def _allowed() -> np.ndarray:
+    """Tags that may follow each tag: an inside only its own kind's begin or inside."""
+    out = np.ones((len(TAGS), len(TAGS)), bool)
+    for k, kind in enumerate(TAGGED):
+        out[:, 2 * k + 2] = False
+        out[[TAGS.index("B-" + kind), TAGS.index("I-" + kind)], 2 * k + 2] = True
+    return out
+
+
+_ALLOWED = _allowed()
+#: The weight of characters by themselves in the loss.
+ALONE = 0.3
+#: Transition weights stay within this of 0, which keeps what a neighbour's tag can change small.
+REACH = 0.25
+
+
 @dataclass
 class Tagger:
     """Weights by name: embedding ``E``; each way's ``W`` (in), ``U`` (recurrent), ``b``; ``V``, ``c`` out; ``T`` between tags."""
@@ -154,6 +207,9 @@ class Tagger:
             w |= {"W" + way: draw(EMBED, 4 * UNITS), "U" + way: draw(UNITS, 4 * UNITS), "b" + way: np.repeat([0.0, 1.0, 0.0, 0.0], UNITS)}
         return cls(w)
 
+    def between(self) -> np.ndarray:
+        return np.where(_ALLOWED, self.w["T"], -1e4)
+
     def _lstm(self, x: np.ndarray, way: str) -> tuple[np.ndarray, list]:
         """Outputs (batch, time, units) and what backpropagation needs."""
         n, steps, _ = x.shape
@@ -185,16 +241,13 @@ class Tagger:
             dh, dc = dz @ self.w["U" + way].T, dc * f
         return dx
 
-    def emissions(self, chars: np.ndarray) -> np.ndarray:
-        """Scores (batch, time, tags) of character classes (batch, time)."""
-        x = self.w["E"][chars]
-        both = np.concatenate([self._lstm(x, "f")[0], self._lstm(x, "b")[0]], 2)
-        return both @ self.w["V"] + self.w["c"]
-
     def loss_and_gradients(self, chars: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
-        """Mean negative CRF log-likelihood of a batch of equal-length windows."""
+        """Mean negative CRF log-likelihood of a batch of equal-length windows, and ``ALONE`` times that of each character by itself.
+
+        The second term keeps inside tags low where nothing begins, so that reading can pass over most of a text.
+        """
         n, steps = chars.shape
-        x, T = self.w["E"][chars], self.w["T"]
+        x, T = self.w["E"][chars], self.between()
         (hf, tf), (hb, tb) = self._lstm(x, "f"), self._lstm(x, "b")
         both = np.concatenate([hf, hb], 2)
         e = both @ self.w["V"] + self.w["c"]
@@ -207,8 +260,9 @@ class Tagger:
         z = _lse(alpha[:, -1], 1)
         rows, cols = np.arange(n)[:, None], np.arange(steps)
         gold = e[rows, cols, tags].sum(1) + T[tags[:, :-1], tags[:, 1:]].sum(1)
-        de = np.exp(alpha + beta - z[:, None, None])
-        de[rows, cols, tags] -= 1
+        single = _lse(e, 2)
+        de = np.exp(alpha + beta - z[:, None, None]) + ALONE * np.exp(e - single[:, :, None])
+        de[rows, cols, tags] -= 1 + ALONE
         de /= n
         into = {k: np.zeros_like(v) for k, v in self.w.items()}
         for t in range(1, steps):
@@ -219,23 +273,114 @@ class Tagger:
         dboth = de @ self.w["V"].T
         dx = self._lstm_back(x, "f", tf, dboth[:, :, :UNITS], into) + self._lstm_back(x, "b", tb, dboth[:, :, UNITS:], into)
         np.add.at(into["E"], chars, dx)
-        return float((z - gold).mean()), into
-
-    def viterbi(self, e: np.ndarray) -> np.ndarray:
-        """The best tag path over emissions (time, tags)."""
-        score, back = e[0], np.zeros(e.shape, np.int64)
-        for t in range(1, len(e)):
-            all_ = score[:, None] + self.w["T"]
-            back[t] = all_.argmax(0)
-            score = all_.max(0) + e[t]
-        path = np.zeros(len(e), np.int64)
-        path[-1] = score.argmax()
-        for t in range(len(e) - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-        return path
-
-
-def train(examples: list[tuple[str, list[tuple[str, int, int]]]], passes: int = PASSES, seed: int = 3) -> Tagger:
+        alone = (single - e[rows, cols, tags]).sum(1)
+        return float((z - gold + ALONE * alone).mean()), into
+
+    def reader(self) -> Reader:
+        return Reader(self)
+
+
+#: Characters of parts that are searched together, padding included.
+_SEARCHED = 1 << 15
+
+
+class Reader:
+    """A tagger's weights laid out for reading: single precision, one table look-up for each character and way."""
+
+    def __init__(self, model: Tagger):
+        w = model.w
+        halves = np.repeat([0.5, 0.5, 0.5, 1.0], UNITS)  # twice a sigmoid is a tanh of half its argument, plus one
+        single = lambda a: np.ascontiguousarray(a, np.float32)
+        self.into = {way: single(((w["E"] @ w["W" + way] + w["b" + way]) * halves).T) for way in "fb"}
+        self.again = {way: single((w["U" + way] * halves).T / 2) for way in "fb"}  # outputs stay doubled
+        self.out, self.bias = single(w["V"] / 2), single(w["c"])
+        self.between = model.between()
+        least, most, outside = w["T"][_ALLOWED].min(), w["T"][_ALLOWED].max(), w["T"][0, 0]
+        self.more = float(most - outside)  # a transition over that between outside tags
+        self.slack = float(2 * (outside - least) + self.more)
+
+    def emissions(self, chars: np.ndarray) -> np.ndarray:
+        """Scores (time, windows, tags) of character classes (time, windows)."""
+        steps, n = chars.shape
+        h_all = np.empty((steps, 2 * UNITS, n), np.float32)
+        for way, rows in (("f", slice(0, UNITS)), ("b", slice(UNITS, 2 * UNITS))):
+            into, again = self.into[way], self.again[way]
+            h, c, z, x = (np.zeros((k * UNITS, n), np.float32) for k in (1, 1, 4, 4))
+            gates, more = z[: 3 * UNITS], x[:UNITS]
+            for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
+                np.take(into, chars[t], axis=1, out=x, mode="clip")
+                np.matmul(again, h, out=z)
+                z += x
+                np.tanh(z, out=z)
+                gates += np.float32(1)  # twice each gate
+                np.multiply(gates[:UNITS], z[3 * UNITS :], out=more)
+                c *= gates[UNITS : 2 * UNITS]
+                c += more
+                c *= np.float32(0.5)
+                h = h_all[t, rows]
+                np.tanh(c, out=h)
+                h *= gates[2 * UNITS :]
+        return np.matmul(h_all.transpose(0, 2, 1), self.out) + self.bias
+
+    def open_parts(self, e: np.ndarray) -> list[tuple[int, int]]:
+        """The parts of a text, given its scores (time, tags), that a span may stand in.
+
+        A span that stands in the best path gains more over outside tags than transitions can give
+        back without it. The most that any span over a character can gain follows from running sums,
+        so most characters are outside for certain; a path searched between them is that of the
+        whole text.
+        """
+        e = np.ascontiguousarray(e.T)
+        gain = e[1:] - (e[0] - np.float32(self.more))
+        run = np.cumsum(gain[1::2], 1, np.float64)
+        until = run + np.maximum.accumulate(gain[0::2] - run, 1)  # the best span that ends here
+        after = np.maximum.accumulate(run[:, ::-1], 1)[:, ::-1] - run  # what it can gain by going on
+        open_ = ((until + after).max(0) >= -self.slack).astype(np.int8)
+        edges = np.flatnonzero(np.diff(open_, prepend=0, append=0)).tolist()
+        return list(zip(edges[::2], edges[1::2], strict=True))
+
+    def decode(self, texts: list[np.ndarray]) -> list[list[tuple[str, int, int]]]:
+        """The spans of the best tag path over each whole text's scores (time, tags)."""
+        found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+        parts = sorted(((b - a, row, a) for row, e in enumerate(texts) for a, b in self.open_parts(e)), reverse=True)
+        while parts:
+            n = max(1, min(len(parts), _SEARCHED // parts[0][0]))
+            for (_, row, a), path in zip(parts[:n], self._paths([(texts[row][a : a + size], a == 0, a + size == len(texts[row])) for size, row, a in parts[:n]]), strict=True):
+                open_ = None
+                for t, tag in enumerate([*path, 0]):
+                    if open_ and tag != open_[0] + 1:
+                        found[row].append((TAGS[open_[0]][2:], a + open_[1], a + t))
+                        open_ = None
+                    if tag % 2:
+                        open_ = (tag, t)
+            parts = parts[n:]
+        return found
+
+    def _paths(self, parts: list[tuple[np.ndarray, bool, bool]]) -> list[list[int]]:
+        """The best tags of each part, longest first, between outside tags or a text's ends."""
+        T, size = self.between.astype(np.float32), np.array([len(e) for e, _, _ in parts])
+        n, going = len(parts), [int((size > t).sum()) for t in range(size[0])]
+        score = np.zeros((size[0], len(TAGS), n), np.float32)  # of the best path to each tag
+        for k, (own, _, _) in enumerate(parts):
+            score[: len(own), :, k] = own
+        first, last = (np.array([p[j] for p in parts]) for j in (1, 2))
+        score[0] += np.where(_ALLOWED[0][:, None], np.where(first, 0, T[0][:, None]), -1e4)
+        for t in range(1, size[0]):
+            k = going[t]
+            score[t, :, :k] += (score[t - 1, :, None, :k] + T[:, :, None]).max(0)
+            score[t, :, :k] -= score[t, :, :k].max(0)
+        path = np.zeros((size[0], n), np.int64)
+        ends = score[size - 1, :, np.arange(n)] + np.where(last[:, None], 0, T[:, 0])
+        tag = ends.argmax(1)
+        for t in range(size[0] - 1, 0, -1):
+            k = going[t]
+            path[t, :k] = tag[:k]
+            tag[:k] = (score[t - 1, :, :k] + T[:, tag[:k]]).argmax(0)
+        path[0] = tag
+        return [path[:m, k].tolist() for k, m in enumerate(size.tolist())]
+
+
+def train(examples: list[tuple[str, list[tuple[str, int, int]]]], passes: int = PASSES, seed: int = 3, steps: int = 64) -> Tagger:
     """Adam over windows of the examples; the model is the same for the same examples."""
     rng, model = np.random.default_rng(seed), Tagger.fresh(seed)
     chars, tags = [], []
@@ -243,10 +388,13 @@ def train(examples: list[tuple[str, list[tuple[str, int, int]]]], passes: int =
         x, y = classes(text), np.zeros(len(text), np.int64)
         for kind, a, b in spans:
             y[a], y[a + 1 : b] = TAGS.index("B-" + kind), TAGS.index("I-" + kind)
-        for at in range(0, max(1, len(x) - STRIDE), STRIDE):
-            cut = slice(at, at + WINDOW)
-            chars.append(np.pad(x[cut], (0, WINDOW - len(x[cut]))))
-            tags.append(np.pad(y[cut], (0, WINDOW - len(y[cut]))))
+        for at in range(0, max(1, len(x) - steps // 2), steps // 2):
+            cut = slice(at, at + steps)
+            chars.append(np.pad(x[cut], (0, steps - len(x[cut]))))
+            own = np.pad(y[cut], (0, steps - len(y[cut])))
+            if own[0] and own[0] % 2 == 0:
+                own[0] -= 1  # a span that the window cuts begins with it
+            tags.append(own)
     chars, tags = np.array(chars), np.array(tags)
     m, v, step = {k: np.zeros_like(a) for k, a in model.w.items()}, {k: np.zeros_like(a) for k, a in model.w.items()}, 0
     for p in range(passes):
@@ -255,13 +403,14 @@ def train(examples: list[tuple[str, list[tuple[str, int, int]]]], passes: int =
             some = order[at : at + 64]
             _, grads = model.loss_and_gradients(chars[some], tags[some])
             step += 1
-            rate = 0.02 * (1 - p / passes) + 0.001
+            rate = 0.015 * (1 - p / passes) ** 2 + 0.0005
             norm = np.sqrt(sum((g * g).sum() for g in grads.values()))
             for k, g in grads.items():
                 g = g * min(1.0, 5 / (norm + 1e-9))
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
                 model.w[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+            np.clip(model.w["T"], -REACH, REACH, out=model.w["T"])
     return model
 
 
@@ -270,115 +419,93 @@ def default_tagger() -> Tagger:
     return train(labelled_examples())
 
 
-_DOMAIN_RUN = re.compile(r"[\s)]{0,2}[\w-]*(?: ?\. ?[\w-]+)*")
-_WORD_END = re.compile(r"\S*")
+def tagged_spans(texts: list[str], reader: Reader, windows: int = 512) -> list[list[tuple[str, int, int]]]:
+    """The model's spans of each whole text. Windows of all texts are scored together."""
+    codes = [classes(t) for t in texts]
+    scores = [np.empty((len(x), len(TAGS)), np.float32) for x in codes]
+    cuts: dict[int, list[tuple[int, int]]] = {}
+    for row, x in enumerate(codes):
+        for at in range(0, max(1, len(x) - 2 * MARGIN), WINDOW - 2 * MARGIN):
+            cuts.setdefault(min(WINDOW, -(-(len(x) - at) // 128) * 128), []).append((row, at))  # padded by its own length alone
+    for steps, same in cuts.items():
+        for k in range(0, len(same) if steps else 0, windows):
+            part = same[k : k + windows]
+            chars = np.zeros((len(part), steps), np.intp)
+            for own, (row, at) in zip(chars, part, strict=True):
+                x = codes[row][at : at + steps]
+                own[: len(x)] = x
+            e = reader.emissions(np.ascontiguousarray(chars.T))
+            for own, (row, at) in zip(e.transpose(1, 0, 2), part, strict=True):
+                # of two windows over a character, the one it is more central in
+                a, n = (MARGIN if at else 0), len(codes[row]) - at
+                scores[row][at + a : at + min(steps, n)] = own[a : min(steps, n)]
+    return reader.decode(scores)
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """The parts of a text within ``AROUND`` characters of a digit or at-sign, merged.
-
-    Each reaches on to the ends of the words that it would cut, and of the dotted or spaced run after
-    an at-sign. Only text that no earlier stretch has is searched for them.
-    """
-    out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        done = out[-1][1] if out else 0
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if text[m.end() - 1] == "@":
-            b = max(b, _DOMAIN_RUN.match(text, m.end()).end())
-        if b > done:
-            b = _WORD_END.match(text, b).end() if not text[b - 1].isspace() else b
-        while a > done and not text[a - 1].isspace():
-            a -= 1
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def tagged_spans(texts: list[str], model: Tagger, windows: int = 512) -> list[list[tuple[str, int, int]]]:
-    """The model's spans of each text. Windows of all texts are scored in batches."""
-    found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    batch: list[tuple[int, int, np.ndarray]] = []
-
-    def flush() -> None:
-        cuts = [(s, at) for s, (_, _, x) in enumerate(batch) for at in range(0, max(1, len(x) - STRIDE), STRIDE)]
-        scores = [np.zeros((len(x), len(TAGS))) for _, _, x in batch]
-        for k in range(0, len(cuts), windows):
-            part = cuts[k : k + windows]
-            e = model.emissions(np.array([np.pad(w := batch[s][2][at : at + WINDOW], (0, WINDOW - len(w))) for s, at in part]))
-            for (s, at), own in zip(part, e, strict=True):
-                # of two windows over a character, the one it is more central in
-                a = 0 if at == 0 else (WINDOW - STRIDE) // 2
-                n = len(scores[s]) - at
-                scores[s][at + a : at + min(WINDOW, n)] = own[a : min(WINDOW, n)]
-        for (row, start, _), e in zip(batch, scores, strict=True):
-            path, open_ = model.viterbi(e), None
-            for t, tag in enumerate([*path.tolist(), 0]):
-                if open_ and tag != open_[0] + 1:
-                    found[row].append((TAGS[open_[0]][2:], start + open_[1], start + t))
-                    open_ = None
-                if tag and TAGS[tag][0] == "B":
-                    open_ = (tag, t)
-        batch.clear()
-
-    for row, text in enumerate(texts):
-        for a, b in stretches(text):
-            batch.append((row, a, classes(text[a:b])))
-            if len(batch) >= windows:
-                flush()
-    if batch:
-        flush()
-    return found
+_SPELLED_AT = re.compile(r"\s*[(\[{]\s*(?:at|@)\s*[)\]}]\s*|\s+at\s+|\s*[@＠]\s*", re.I)
+_SPELLED_DOT = re.compile(r"\s*[(\[{]\s*(?:dot|\.)\s*[)\]}]\s*|\s+(?:dot|\.)\s+", re.I)
+_EDGE = " \t\n\r\x0b\x0c,;:!?\"'<>"
 
 
 def plausible(kind: str, text: str) -> bool:
-    """Whether a tagged span holds what its kind must hold."""
+    """Whether a tagged span can be of its kind: the contract's limits, however it is spelled."""
     digits = _digits(text)
-    if kind == "email":
-        return bool(re.fullmatch(r"[^\W]\S*[\s(]{0,2}@[\s)]{0,2}\w[\w-]*(?: ?\. ?[\w-]+)+", text))
+    if kind == "email":  # one address without spaces, once its at and dots are signs
+        signs = _SPELLED_DOT.sub(".", _SPELLED_AT.sub("@", text))
+        return bool(re.fullmatch(r"[^\s@]+@[^\s@.]+(\.[^\s@.]+)+", signs))
     if kind == "ip":
-        parts = re.split(r"[^0-9]+", text)
-        return bool(re.fullmatch(r"[0-9]{1,3}(?:\s?[.,:_-]\s?[0-9]{1,3}){3}", text)) and all(int(p) <= 255 for p in parts)
+        parts = re.findall(r"[0-9]+", text)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
-        return bool(re.fullmatch(r"[0-9](?:[ ./_-]{0,2}[0-9])*", text)) and 14 <= len(digits) <= 19 and luhn(digits)
-    return bool(re.fullmatch(r"\+ ?[0-9](?:[ ()./_-]{0,3}[0-9])*", text)) and 10 <= len(digits) <= 15
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone":
+        return 10 <= len(digits) <= 15
+    return len(text) >= 12 and not re.search(r"\s", text)
 
 
 def all_spans(text: str, tagged: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Base spans, and plausible tagged spans that touch none of them."""
-    base = base_spans(text)
-    more = [s for s in tagged if plausible(s[0], text[s[1] : s[2]]) and all(s[2] <= b[1] or s[1] >= b[2] for b in base)]
-    return sorted([*base, *more], key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    """Base spans, and plausible tagged spans, less spaces and marks at their ends, that touch none of them."""
+    base, more = base_spans(text), []
+    for kind, a, b in tagged:
+        while a < b and text[a] in _EDGE:
+            a += 1
+        while a < b and text[b - 1] in _EDGE + ".":
+            b -= 1
+        if a < b and plausible(kind, text[a:b]) and all(b <= s[1] or a >= s[2] for s in base):
+            more.append((kind, a, b))
+    return sorted([*base, *more], key=lambda s: (s[1], TAGGED.index(s[0]), s[2]))
+
+
+#: Characters of text tagged together by a worker, beyond which a single text stands alone.
+_TOGETHER = 1 << 20
 
 
 def find_spans(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (pattern matches), base and spans, as ``kind:start:end`` lists.
 
-    Both lists are comma-joined, by start, then kind; ``n_added`` counts what the tagger added.
+    Both lists are comma-joined, by start, then kind; ``n_added`` counts what the tagger added,
+    ``n_secret`` the secrets among it.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model or default_tagger())  # some thousand weights
+    held = docs.sparkSession.sparkContext.broadcast((model or default_tagger()).w)  # some thousand weights
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         join = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        reader = Tagger(held.value).reader()
         for batch in batches:
-            counts, bases, alls, added = [[] for _ in KINDS], [], [], []
-            column = batch.column("text")
-            for at in range(0, batch.num_rows, 512):
-                texts = [t or "" for t in column[at : at + 512].to_pylist()]
-                some = [k for k, t in enumerate(texts) if _TRIGGER.search(t)]
-                tagged = dict(zip(some, tagged_spans([texts[k] for k in some], held.value), strict=True))
-                for k, text in enumerate(texts):
-                    base = base_spans(text) if k in tagged else []
-                    every = all_spans(text, tagged[k]) if k in tagged else []
+            counts, bases, alls, added, secrets = [[] for _ in KINDS], [], [], [], []
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([len(t) for t in texts]) // _TOGETHER
+            for some in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
+                for k, tagged in zip(some.tolist(), tagged_spans([texts[k] for k in some], reader), strict=True):
+                    base, every = base_spans(texts[k]), all_spans(texts[k], tagged)
                     for n, kind in zip(counts, KINDS, strict=True):
                         n.append(sum(s[0] == kind for s in base))
                     bases.append(join(base))
                     alls.append(join(every))
                     added.append(len(every) - len(base))
-            arrays = [batch.column("doc_id"), *(pa.array(n, pa.int64()) for n in counts), pa.array(bases, pa.string()), pa.array(alls, pa.string()), pa.array(added, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans", "n_added"])
+                    secrets.append(sum(s[0] == "secret" for s in every))
+            arrays = [batch.column("doc_id"), *(pa.array(n, pa.int64()) for n in counts), pa.array(bases, pa.string()), pa.array(alls, pa.string()), pa.array(added, pa.int64()), pa.array(secrets, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans", "n_added", "n_secret"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_batches(docs.select("doc_id", "text")).mapInArrow(find, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_added long")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(find, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_added long, n_secret long")
