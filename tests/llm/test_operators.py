@@ -399,6 +399,23 @@ def test_token_counts_match_the_library(rows):
             assert tokcount.count_tokens(text, machine, spaced, chunk) == len(library.encode(text)), text[:80]
 
 
+def test_chunk_maps_compose_in_any_order():
+    pieces, spaced = tokcount.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    machine, rng = tokcount.Transducer(pieces), random.Random(2)
+    for _ in range(60):
+        text = "".join(rng.choice(["the", "ing", tokcount.SPACE, tokcount.SPACE, "日", "x", "aaaa", "\n"]) for _ in range(40))
+        cuts = sorted({0, len(text), *(rng.randrange(len(text)) for _ in range(5))})
+        entries, maps = {0, machine.run(0, "th")[0], machine.run(0, "aaa")[0]}, []
+        want = {e: machine.run(e, text) for e in entries}
+        for a, b in zip(cuts, cuts[1:]):
+            maps.append(tokcount.chunk_map(text[a:b], text[a - 1] if a else tokcount.SPACE, entries, machine))
+            entries = {x for x, _ in maps[-1].values()}
+        left = maps[0]
+        for m in maps[1:]:
+            left = tokcount.then(left, m)
+        assert {e: n for e, (_, n) in left.items()} == {e: n for e, (_, n) in tokcount.compose(maps).items()} == {e: n for e, (_, n) in want.items()}
+
+
 def test_token_counts_query_shape(docs, rows, nothing):
     path = public_tokenizers.path("piece_bpe_32k.model")
     import sentencepiece

@@ -4,23 +4,24 @@ For a BPE with byte fallback, the transducer's state after a prefix holds what d
 follow: the prefix's last token and every unfinished token (its place in the trie, the token before
 it, its count relative to the prefix). Reading a character gives the next state and the number of
 tokens the prefix gained, which may be negative when a longer token swallows shorter ones. States
-and transitions are compiled when first met and kept; runs over whole segments are kept as well.
+and transitions are compiled when first met and kept.
 
-A chunk of text is a map from entry state to exit state and count. Where a space follows another
-character, or a character stands in no token, every state leads to one and the same; so a chunk's
-map is its head up to there plus a constant, maps compose associatively, and the chunks of a long
-text are composed by a scan in pairs.
+A chunk of text is a map from entry states to (exit state, tokens gained). Chunks are mapped on their
+own: where a space follows another character all states lead to one and the same, so the state at a
+border follows from the few characters before it, and a chunk's map is that of its head plus a
+constant. Maps compose associatively; a text's are composed by a scan in pairs. Should a chunk exit
+in a state that the next was not mapped for, the next one's map is extended by it first.
 
 Edge cases: null and empty texts have no tokens; characters that no token holds count their UTF-8
-bytes; special strings in a text are ordinary text; repeated rows get equal results; further
-columns are ignored.
+bytes; special strings in a text are ordinary text; a text of any length, with or without spaces, is
+cut into chunks; an empty table gives no rows; repeated rows get equal results; further columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +33,7 @@ from vellumine.llm.scratch import in_batches
 
 SPACE = "▁"
 #: Characters of a chunk; segments kept by each worker, in each of two generations; states compiled.
-CHUNK, CACHE, STATES = 1 << 16, 250_000, 100_000
+CHUNK, CACHE, STATES = 1 << 16, 250_000, 200_000
 
 
 def read_model(path: str) -> tuple[dict[str, float], bool]:
@@ -70,8 +71,7 @@ class Transducer:
                 node = self.trie[node][c]
             self.token[node] = p
         self.reset()
-        self.spaced = Memo(lambda w: self.run(self.run((0, 0), SPACE), w)[1], CACHE)
-        self.bare = Memo(lambda w: self.run((0, 0), w)[1], CACHE)
+        self.gain = Memo(lambda segment: self.run(0, segment)[1], CACHE)
 
     def reset(self) -> None:
         self.states: list[tuple] = [(None, ())]
@@ -104,85 +104,76 @@ class Transducer:
         self.step[state][c] = (to, gain)
         return to, gain
 
-    def run(self, at: tuple[int, int], text: str) -> tuple[int, int]:
-        """(state, count) after ``text``."""
-        state, count = at
-        if state == 0 and len(self.states) > STATES:
-            self.reset()
-        step = self.step
+    def run(self, state: int, text: str) -> tuple[int, int]:
+        """(state, tokens gained) after ``text``."""
+        count, step = 0, self.step
         for c in text:
             to = step[state].get(c)
             state, gain = to if to is not None else self.compile(state, c)
             count += gain
         return state, count
 
-    def words(self, text: str, spaced: bool) -> int:
-        """Tokens of a text without doubled spaces: after each space, or start, a segment of its own."""
-        count = 0
-        newline = 0 if "\n" in self.weight else 1
-        for k, line in enumerate(text.split("\n")) if newline else ((0, text),):
-            first, *rest = line.split(" ")
-            count += (self.spaced if spaced and not k else self.bare)[first] + bool(k)
-            count += sum(map(self.spaced.__getitem__, rest))
-        return count
 
+#: From entry states to (exit state, tokens gained).
+ChunkMap = dict[int, tuple[int, int]]
+_MEETS = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
+#: Characters before a border that its entry state is looked for in.
+LOOK_BACK = 256
 
-@dataclass(frozen=True)
-class ChunkMap:
-    """From any entry state: ``head`` is read on; then, if ``meets``, ``count`` more and state ``exit``."""
-
-    head: str
-    meets: bool
-    count: int = 0
-    exit: str = ""
 
-    def then(self, after: ChunkMap, machine: Transducer) -> ChunkMap:
-        if not self.meets:
-            return ChunkMap(self.head + after.head, after.meets, after.count, after.exit)
-        if not after.meets:
-            return ChunkMap(self.head, True, self.count, self.exit + after.head)
-        return ChunkMap(self.head, True, self.count + machine.run((0, 0), self.exit + after.head)[1] + after.count, after.exit)
+def segments(chunk: str) -> list[str]:
+    """``chunk`` cut where a space (U+2581) follows another character: from there on all states are as state 0."""
+    if SPACE + SPACE in chunk:
+        return _MEETS.split(chunk)
+    first, *rest = chunk.split(SPACE)
+    return [first, *[SPACE + w for w in rest]]
 
 
-_MEETS = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
+def chunk_map(chunk: str, before: str, entries: set[int], machine: Transducer) -> ChunkMap:
+    """The map of ``chunk``, which follows the character ``before``, for some entry states."""
+    head, *rest = segments(chunk)
+    if chunk[0] == SPACE and (head == "") == (before == SPACE):  # whether its first space is a cut depends on ``before``
+        head, *rest = rest if head == "" else ["", head, *rest]
+    out = {e: machine.run(e, head) if head else (0, 0) if rest else (e, 0) for e in entries}
+    if not rest:
+        return out
+    inner = sum(map(machine.gain.__getitem__, rest[:-1]))
+    state, last = machine.run(0, rest[-1])
+    return {e: (state, n + inner + last) for e, (_, n) in out.items()}
 
 
-def chunk_map(chunk: str, machine: Transducer) -> ChunkMap:
-    """``chunk`` has its spaces as U+2581. The exit state is named by the characters since its reset."""
-    cuts = [m.start() for m in _MEETS.finditer(chunk)]
-    if not cuts:
-        return ChunkMap(chunk, False)
-    inner = sum(machine.bare[chunk[a:b]] for a, b in zip(cuts, cuts[1:], strict=False))
-    return ChunkMap(chunk[: cuts[0]], True, inner, chunk[cuts[-1] :])
+def then(first: ChunkMap, second: ChunkMap) -> ChunkMap:
+    return {e: (second[x][0], n + second[x][1]) for e, (x, n) in first.items()}
 
 
-def compose(maps: list[ChunkMap], machine: Transducer) -> ChunkMap:
+def compose(maps: list[ChunkMap]) -> ChunkMap:
     """All maps in order, joined in pairs, level by level."""
     while len(maps) > 1:
-        maps = [maps[i].then(maps[i + 1], machine) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        maps = [then(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
     return maps[0]
 
 
+def entry_state(text: str, border: int, machine: Transducer) -> int:
+    """The state at ``border`` as the characters before it tell."""
+    seen = text[max(0, border - LOOK_BACK) : border]
+    return machine.run(0, segments(seen)[-1])[0]
+
+
 def count_tokens(text: str, machine: Transducer, spaced: bool, chunk: int = CHUNK) -> int:
     if not text:
         return 0
-    if len(text) <= chunk and "  " not in text and SPACE not in text and text[0] != " ":
-        return machine.words(text, spaced)
+    if len(machine.states) > STATES:
+        machine.reset()  # between texts only, as maps name states
     text = (SPACE if spaced else "") + text.replace(" ", SPACE)
-    # a space at a chunk's start meets the chunk before it: cuts look at both sides of a border
-    parts = [text[i : i + chunk] for i in range(0, len(text), chunk)]
-    whole = compose([_bordered(p, parts[i - 1][-1] if i else SPACE, machine) for i, p in enumerate(parts)], machine)
-    count = machine.run((0, 0), whole.head)[1]
-    return count + whole.count + machine.run((0, 0), whole.exit)[1]
-
-
-def _bordered(part: str, before: str, machine: Transducer) -> ChunkMap:
-    if part[0] == SPACE and before != SPACE:  # the reset is at the very start
-        inner = chunk_map(part, machine)
-        if not inner.meets:
-            return ChunkMap("", True, 0, part)
-        return ChunkMap("", True, machine.bare[inner.head] + inner.count, inner.exit)
-    return chunk_map(part, machine)
+    borders = range(0, len(text), chunk)
+    entries = [{entry_state(text, b, machine)} if b else {0} for b in borders]
+    one = lambda k, some: chunk_map(text[borders[k] : borders[k] + chunk], text[borders[k] - 1] if k else SPACE, some, machine)
+    maps = [one(k, some) for k, some in enumerate(entries)]
+    for k in range(1, len(maps)):
+        missing = {x for x, _ in maps[k - 1].values()} - maps[k].keys()
+        if missing:
+            maps[k] |= one(k, missing)
+    return compose(maps)[0][1]
 
 
 _loaded: dict[int, Transducer] = {}
@@ -200,7 +191,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
         machine = _loaded[key]
         for batch in batches:
             text = batch.column("text")
-            n = [count_tokens(t or "", machine, spaced) for at in range(0, len(text), 256) for t in text[at : at + 256].to_pylist()]
+            n = [count_tokens(t or "", machine, spaced) for t in text.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
