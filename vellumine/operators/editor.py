@@ -1,12 +1,15 @@
 """Element cleaning, with an optional language model given as a callable.
 
-``call(prompt) -> str | dict | None``. Context is the latest cleaned texts of the same document, so a
+``call(prompt=..., text=..., kind=..., metadata=..., around=...)`` or ``call(prompt)`` gives a string, a dict
+with one, or None. Context is the latest cleaned texts of the same document, so a
 document's elements are edited in order within one row; rows run in parallel.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,14 +51,10 @@ def clean_elements(elements: Column, text: Column, names: tuple[str, ...] = (),
 
 
 def context(done: list[str], most: int = CONTEXT) -> str:
-    """The latest texts whose lengths add up to ``most`` at the utmost, in their order."""
-    parts, total = [], 0
-    for text in reversed([t for t in done if t]):
-        total += len(text)
-        if total > most:
-            break
-        parts.append(text)
-    return "\n\n".join(reversed(parts))
+    """The longest run of latest texts, blanks aside, whose lengths add up to ``most`` at the utmost."""
+    texts = list(filter(None, done))
+    left = list(accumulate(map(len, texts[::-1])))  # lengths from the end; they only grow
+    return "\n\n".join(texts[len(texts) - bisect_right(left, most) :])
 
 
 def prompt(text: str, kind: str, metadata: dict, around: str) -> str:
@@ -70,10 +69,17 @@ def prompt(text: str, kind: str, metadata: dict, around: str) -> str:
     )
 
 
-def answer(call: Callable, *args: str) -> str | None:
-    """The callable's text; None if it fails or returns none."""
+def answer(call: Callable, asked: str, **details) -> str | None:
+    """The callable's text; None if it fails or returns none.
+
+    It is called with the prompt and the element's details by name, or, if it doesn't take those, with
+    the prompt alone.
+    """
     try:
-        out = call(*args)
+        try:
+            out = call(prompt=asked, **details)
+        except TypeError:
+            out = call(asked)
     except Exception:  # noqa: BLE001  a model that fails leaves the element as it is
         return None
     if isinstance(out, dict):
@@ -93,7 +99,8 @@ def edit(df: DataFrame, call: Callable[[str], str | dict | None] | None = None)
                 done: list[str] = []
                 n = 0
                 for e in elements:
-                    new = answer(call, prompt(e["text"] or "", e["type"], dict(e["metadata"] or {}), context(done))) if e["text"] else None
+                    details = {"text": e["text"], "kind": e["type"], "metadata": dict(e["metadata"] or {}), "around": context(done)}
+                    new = answer(call, prompt(**details), **details) if e["text"] else None
                     n += new is not None
                     done.append(new if new is not None else e["text"])
                 rows.append((doc, [{**dict(e), "text": t, "metadata": dict(e["metadata"] or {})} for e, t in zip(elements, done, strict=True)], n))

@@ -226,7 +226,10 @@ ORACLE = {
 a as (select *, case when score > 0.8 and secs < 10 then 'balanced' when score > 0.9 then 'quality' when secs < 5 then 'fast' end as advice from b)
 select doc_id, arg_min(extractor, struct_pack(a := secs, b := e)) as fastest, arg_max(extractor, struct_pack(a := score, b := -e)) as best_quality,
 coalesce(string_agg(extractor || ':' || advice, ',' order by e) filter (where advice is not null), '') as recommendations from a group by doc_id""",
-    "batch_counts": "select count(distinct doc_id) as total_files, count(distinct doc_id) as successful, 0::bigint as failed, 0::bigint as without_scores from documents",
+    "batch_counts": """select count(*) as total_files, count(*) filter (where doc_id % 17 <> 0) as successful, count(*) filter (where doc_id % 17 = 0) as failed,
+count(*) filter (where doc_id % 17 <> 0 and doc_id % 5 = 0) as without_scores from (select distinct doc_id from documents)""",
+    "run_summaries": """select distinct doc_id, case when doc_id % 5 = 0 then '' else 'extraction,cleaning,conversion,quality' end as stages_completed,
+case when doc_id % 5 = 0 then 'No successful text extraction' else 'extraction: reader for absent is not installed' end as errors from documents""",
     "unrouted_documents": "select doc_id, '.bin' as file_type, 'No successful text extraction' as error_message from documents where doc_id % 5 = 0",
     "previews": digest("case when length(t) > 1000 then left(t, 1000) || '...' else t end"),
     "language_codes": f"""with c(code) as (values ('ru+en'), ('rus;eng|en'), ('en-US'), (' , '), ('DE,xx')), m(k, v) as (values {LABELLED}),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellumine.functions import html, rx
 from vellumine.operators import assemble, clean, convert, editor, metrics
-from vellumine.plans import pipeline, registry, report
+from vellumine.plans import config, pipeline, registry, report
 from vellumine.sources.files import spread, table
 
 QUERIES: dict = {}
@@ -174,6 +174,13 @@ def best_combinations(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.best(quality, "doc_id").withColumn("best_score", _r("best_score"))
 
 
+@query
+def best_default_combinations(spark: SparkSession, d: str) -> DataFrame:
+    """The best of all combinations of the default registry."""
+    quality = pipeline.process(documents(spark, d), registry.default_registry()).withColumn("overall_score", _r("overall_score"))
+    return pipeline.best(quality, "doc_id").withColumn("best_score", _r("best_score"))
+
+
 @query
 def extractor_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Recommendations from scores and given times: a time is a column, never a clock."""
@@ -186,8 +193,24 @@ def extractor_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def batch_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that could not be looked at (every 17th, here) fail; those of an unknown suffix succeed without scores."""
+    docs = documents(spark, d).withColumn("file_error", F.when(F.col("doc_id") % 17 == 0, F.lit("no such file")))
+    suffix = F.when(F.col("doc_id") % 5 == 0, F.lit(".bin")).otherwise(F.lit(".txt"))
+    quality = pipeline.process(docs.filter("file_error is null").drop("file_error"), small_registry(), suffix, converter="PassThrough")
+    return pipeline.batch_summary(docs, quality)
+
+
+@query
+def run_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Stages completed and errors of each document: an extractor without its reader fails, an unknown suffix has none."""
     docs = documents(spark, d)
-    return pipeline.batch_summary(docs, pipeline.process(docs, small_registry(), converter="PassThrough"))
+    r = small_registry().add_extractor("absent", None, ".txt")
+    suffix = F.when(F.col("doc_id") % 5 == 0, F.lit(".bin")).otherwise(F.lit(".txt"))
+    extractions = pipeline.extract(docs, r, suffix)
+    cleanings = pipeline.clean(extractions, r, ["Quotes"])
+    conversions = pipeline.to_markdown(cleanings, r, "PassThrough")
+    found = pipeline.run_summary(docs, extractions, cleanings, conversions, conversions.select("doc_id"))
+    return found.select("doc_id", F.array_join("stages_completed", ",").alias("stages_completed"), F.array_join("errors", ",").alias("errors"))
 
 
 @query
@@ -203,7 +226,7 @@ def quality_reports(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def processor_list(spark: SparkSession, d: str) -> DataFrame:
-    return registry.default_registry().frame(spark)
+    return config.processors(spark, registry.default_registry())
 
 
 @query

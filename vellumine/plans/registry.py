@@ -90,9 +90,10 @@ def default_registry() -> Registry:
         r.add_extractor(name, None, ".pdf")
     for name in ("python-docx", "docx2txt"):
         r.add_extractor(name, None, ".docx")
-    r.add_extractor("doc-chain", None, ".doc")
-    for suffix in (".pdf", ".docx", ".pptx", ".xlsx", ".html", ".md", ".txt"):
-        r.add_extractor("elements", None, suffix)
+    r.add_extractor("doc-chain", None, ".doc").add_extractor("word-com", None, ".doc", ".docx", ".rtf")
+    r.add_extractor("elements", None, ".pdf", ".docx", ".doc", ".pptx", ".ppt", ".xlsx", ".xls", ".md", ".html", ".txt")
+    r.add_extractor("markitdown", identity, ".txt", ".csv", ".json")
+    r.add_extractor("markitdown", None, ".pdf", ".docx", ".doc", ".xlsx", ".xls", ".pptx", ".ppt", ".html", ".htm", ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".xml", ".zip")
     r.add_cleaner("Basic Cleaner", clean.basic_clean).add_cleaner("Advanced Cleaner", clean.advanced_clean).add_cleaner("HTML Cleaner", clean.html_clean)
     r.add_converter("Markdownify", convert.heading_lines).add_converter("html2text", convert.paragraph_markdown).add_converter("Pandoc", convert.basic_markdown)
     return r.add_converter("Custom Markdown Formatter", convert.format_markdown).add_converter("PassThrough", convert.pass_through)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from vellumine.functions import rx
 from vellumine.operators.metrics import METRICS
-from vellumine.plans.pipeline import best
 
 
 def sanitise(name: Column) -> Column:
@@ -46,11 +45,14 @@ def provenance(generated: Column, source: Column, stages: Column) -> Column:
 
 
 def quality_json(quality: DataFrame) -> DataFrame:
-    """doc_id and a JSON report: every combination's score, how many, and the best one."""
+    """doc_id and a JSON report: every combination's score, how many, and the best one, from one aggregation."""
     row = F.struct("ext_ord", "cln_ord", "cnv_ord", "pipeline_name", "overall_score", "grade", *[m.name for m in METRICS])
-    ranked = best(quality, "doc_id").select("doc_id", F.struct("best_combination", "best_score", "grade").alias("best"))
     rows = quality.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("combinations"))
-    return rows.join(ranked, "doc_id", "left").select("doc_id", F.to_json(F.struct("combinations", F.size("combinations").alias("total_combinations"), "best")).alias("report"))
+    # rows are in registry order, so the first of the greatest score is the best; scores of 0 have none
+    above = F.filter("combinations", lambda x: x["overall_score"] > 0)
+    top = F.get(F.filter(above, lambda x: x["overall_score"] == F.array_max(F.transform(F.col("combinations"), lambda y: y["overall_score"]))), F.lit(0))
+    best_one = F.when(top.isNotNull(), F.struct(top["pipeline_name"].alias("best_combination"), top["overall_score"].alias("best_score"), top["grade"].alias("grade")))
+    return rows.select("doc_id", F.to_json(F.struct("combinations", F.size("combinations").alias("total_combinations"), best_one.alias("best"))).alias("report"))
 
 
 # Words for a score, and the least score of each.
@@ -62,15 +64,29 @@ def _word(score: float, steps: tuple, last: str) -> str:
     return next((w for least, w in steps if score >= least), last)
 
 
-def comparison_html(rows: list[dict], title: str = "Comparison") -> str:
-    """A page from comparison rows of one document: dicts with extractor, best_combination, best_score, total_time, grade."""
+def _cells(values, tag: str = "td") -> str:
+    return "".join(f"<{tag}>{html.escape(str(v))}</{tag}>" for v in values)
+
+
+def comparison_html(rows: list[dict], title: str = "Comparison", advised: list[str] = ()) -> str:
+    """A page from comparison rows of one document: the best, all of them, their metrics, and advice.
+
+    A row has extractor, best_combination, best_score, total_time, grade and, if known, metric_scores by name.
+    """
     top = max((r for r in rows if r["best_score"] > 0), key=lambda r: r["best_score"], default=None)
-    cell = lambda x: f"<td>{html.escape(str(x))}</td>"
-    body = "".join(
-        f'<tr class="{_word(r["best_score"], CLASSES, "score-poor")}">' + "".join(map(cell, (r["extractor"], r["best_combination"] or "", f"{r['best_score']:.3f}", _word(r["best_score"], WORDS, "Очень плохо"), f"{r['total_time']:.2f}"))) + "</tr>" for r in rows
-    )
-    lead = f"<p>{html.escape(top['extractor'])}: {html.escape(top['best_combination'])}, {top['best_score']:.3f} {html.escape(top['grade'] or '')}</p>" if top else ""
-    return f"<html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{lead}<table>{body}</table></body></html>"
+    parts = [f"<h1>{html.escape(title)}</h1>"]
+    if top:
+        parts.append(f"<p>{html.escape(top['extractor'])}: {html.escape(top['best_combination'])}, {top['best_score']:.3f} {html.escape(top['grade'] or '')}</p>")
+    lines = ((_word(r["best_score"], CLASSES, "score-poor"), (r["extractor"], r["best_combination"] or "", f"{r['best_score']:.3f}", _word(r["best_score"], WORDS, "Очень плохо"), f"{r['total_time']:.2f}")) for r in rows)
+    parts.append("<table>" + "".join(f'<tr class="{kind}">{_cells(values)}</tr>' for kind, values in lines) + "</table>")
+    scored = [r for r in rows if r.get("metric_scores")]
+    if scored:
+        names = [m.name for m in METRICS if any(m.name in r["metric_scores"] for r in scored)]
+        body = "".join(f"<tr>{_cells([r['extractor'], *(f'{r['metric_scores'].get(n, 0.0):.3f}' for n in names)])}</tr>" for r in scored)
+        parts.append(f'<table class="metrics"><tr>{_cells(["", *names], "th")}</tr>{body}</table>')
+    if advised:
+        parts.append("<ul>" + _cells(advised, "li") + "</ul>")
+    return f"<html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body>{''.join(parts)}</body></html>"
 
 
 def comparison_json(rows: list[dict]) -> str:

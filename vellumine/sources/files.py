@@ -43,7 +43,7 @@ def media_type(suffix: Column) -> Column:
 
 
 def scan(spark: SparkSession, directory: str, patterns: tuple[str, ...] = PATTERNS) -> DataFrame:
-    """Files of a directory, not below it, with their metadata. A file that two patterns match is listed twice."""
+    """Files of a directory, not below it, with their metadata. A file that two patterns match is listed twice; an empty one has nothing to read and is left out."""
     one = lambda p: spark.read.format("binaryFile").option("pathGlobFilter", p).load(directory)
     files = reduce(DataFrame.unionByName, map(one, patterns))
     suffix = suffix_of(F.col("path"))
