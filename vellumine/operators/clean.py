@@ -90,21 +90,15 @@ def join_hyphenated(text: Column) -> Column:
 def merge_lines(text: Column) -> Column:
     """A line without a final stop takes in the next one if that starts lower-case; a merged line takes no more."""
 
-    def step(state: Column, line: Column) -> Column:
-        last = F.element_at(state["out"], -1)
-        joins = (
-            state["open"]
-            & (last != "")
-            & ~rx.ends_with_any(last, ".!?:")
-            & rx.starts_lower(line)
-            & rx.has(line, rf"\A[^{rx.S_IN}]{{2}}")
-        )
-        return F.when(joins, F.struct(F.concat(F.slice(state["out"], F.lit(1), F.size(state["out"]) - 1), F.array(F.concat(last, line))).alias("out"), F.lit(False).alias("open"))).otherwise(
-            F.struct(F.concat(state["out"], F.array(line)).alias("out"), F.lit(True).alias("open"))
-        )
+    def may_join(before: Column, line: Column) -> Column:
+        return (before != "") & ~rx.ends_with_any(before, ".!?:") & rx.starts_lower(line) & rx.has(line, rf"\A[^{rx.S_IN}]{{2}}")
+
+    def joined(parts: Column) -> Column:
+        marks = F.array_join(F.transform(parts, lambda x, i: F.when((i > 0) & may_join(F.get(parts, i - 1), x), F.lit("1")).otherwise(F.lit("0"))), "")
+        taken = F.split(F.regexp_replace(marks, F.lit("11"), F.lit("10")), "")  # of lines that may join in a row, every second does
+        return rx.let(taken, lambda t: F.array_join(F.transform(parts, lambda x, i: F.concat(F.when((i == 0) | (F.get(t, i) == "1"), F.lit("")).otherwise(F.lit("\n")), x)), ""))
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("open"))
-    return F.aggregate(F.transform(rx.lines(text), rx.strip), start, step, lambda s: rx.unlines(s["out"]))
+    return rx.let(F.transform(rx.lines(text), rx.strip), joined)
 
 
 def drop_running_heads(text: Column) -> Column:

@@ -186,24 +186,25 @@ def table_block(rows: Column) -> Column:
 
 def format_tables(text: Column) -> Column:
     """Runs of pipe lines, begun by one with two pipes, become tables if they have two lines or more."""
-    none = F.array().cast("array<string>")
 
-    def flushed(state: Column) -> Column:
-        block = F.split(table_block(F.transform(state["run"], rx.strip)), "\n", -1)
-        return F.concat(state["out"], F.when(F.size(state["run"]) > 1, block).otherwise(state["run"]))
+    def shaped(lines: Column) -> Column:
+        pipes = lambda x: F.regexp_count(x, F.lit(r"\|"))
+        marks = F.array_join(F.transform(lines, lambda x: F.when(pipes(x) > 1, F.lit("2")).when(pipes(x) == 1, F.lit("1")).otherwise(F.lit("0"))), "")
+        # c: a line that goes on with the run before it
+        flags = F.split(F.regexp_replace(marks, F.lit(r"(?<=2)[12]|\G(?<!^)[12]"), F.lit("c")), "")
 
-    def step(state: Column, line: Column) -> Column:
-        pipes = F.regexp_count(line, F.lit(r"\|"))
-        goes_on = (pipes > 0) & ((F.size(state["run"]) > 0) | (pipes > 1))
-        return F.when(goes_on, F.struct(state["out"].alias("out"), F.concat(state["run"], F.array(line)).alias("run"))).otherwise(
-            F.struct(F.concat(F.when(F.size(state["run"]) > 0, flushed(state)).otherwise(state["out"]), F.array(line)).alias("out"), none.alias("run"))
-        )
+        def piece(flags: Column, starts: Column, at: Column, k: Column) -> Column:
+            size = F.coalesce(F.get(starts, k + 1), F.size(lines)) - at
+            run = F.slice(lines, at + 1, size)
+            return F.when((F.get(flags, at) == "2") & (size > 1), table_block(F.transform(run, rx.strip))).otherwise(rx.unlines(run))
 
-    def end(state: Column) -> Column:
-        return rx.unlines(F.when(F.size(state["run"]) > 0, flushed(state)).otherwise(state["out"]))
+        def cut(f: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(f, i) != "c")
+            return rx.let(starts, lambda s: rx.unlines(F.transform(s, lambda at, k: piece(f, s, at, k))))
 
-    folded = F.aggregate(rx.lines(text), F.struct(none.alias("out"), none.alias("run")), step, end)
-    return F.when(F.contains(text, F.lit("|")), folded).otherwise(text)
+        return rx.let(flags, cut)
+
+    return F.when(F.contains(text, F.lit("|")), rx.let(rx.lines(text), shaped)).otherwise(text)
 
 
 def postprocess(text: Column) -> Column:

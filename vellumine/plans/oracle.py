@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from vellumine.operators.assemble import LANGUAGES
-from vellumine.operators.clean import BULLETS, ENTITIES, GARBLED, TYPOGRAPHY
-from vellumine.operators.metrics import GRADES, LOWEST, METRICS, RUSSIAN, VOWELS
+# Fixed values, spelled out here so that the SQL does not take them from the code that it checks.
+LANGUAGES = {"ru": "rus", "rus": "rus", "ru-ru": "rus", "russian": "rus", "eng": "eng", "en": "eng", "en-us": "eng", "english": "eng"}
+BULLETS = "•·▪▫◦‣⁃"
+ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "..."))
+GARBLED = (("Ã¡", "á"), ("Ã©", "é"), ("Ã\xad", "í"), ("Ã³", "ó"), ("Ãº", "ú"), ("Ã±", "ñ"), ("â€™", "'"), ("â€œ", '"'), ("â€", '"'), ("â€¦", "..."), ('â€"', "-"))
+TYPOGRAPHY = (("«", '"'), ("»", '"'), ("—", "-"), ("–", "-"), ("…", "..."), ("№", "No."))
+GRADES = ((0.9, "A+ (Отлично)"), (0.8, "A (Очень хорошо)"), (0.7, "B (Хорошо)"), (0.6, "C (Удовлетворительно)"), (0.5, "D (Плохо)"))
+LOWEST = "F (Неудовлетворительно)"
+WEIGHTS = {"text_length": 0.1, "readability": 0.2, "structure": 0.3, "formatting": 0.2, "error_rate": 0.2}
+RUSSIAN = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
+VOWELS = ("аеёиоуыэюя", "aeiouy")
 
 # White space as Python and Spark with Unicode classes have it; RE2's own class is ASCII.
 S_IN = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -98,7 +106,7 @@ five as (select *, case when words = 0 then 0.0::double else long end as text_le
   case when words = 0 then 0.0::double else (headers + lists + paragraphs + tables) / 4.0::double end as structure,
   case when words = 0 then 0.0::double else (syntax + consistency + artifact_score) / 3.0::double end as formatting,
   case when words = 0 then 0.0::double else (broken_score + invalid_score + ocr_score) / 3.0::double end as error_rate from parts),
-scored as (select *, ({" + ".join(f"{m.name} * {m.weight}::double" for m in METRICS)}) / {sum(m.weight for m in METRICS)}::double as overall_score from five)
+scored as (select *, ({" + ".join(f"{m} * {w}::double" for m, w in WEIGHTS.items())}) / {sum(WEIGHTS.values())}::double as overall_score from five)
 """
 
 
@@ -189,7 +197,7 @@ cv as (select doc_id, e, extractor, c, cleaner, 0 as v, 'html2text' as converter
 LABELLED = ", ".join(f"('{c}', '{x}')" for c, x in LANGUAGES.items())
 
 ORACLE = {
-    "quality_scores": f"{DOCS} select doc_id, {', '.join(f'round({m.name}, 6) as {m.name}' for m in METRICS)}, round(overall_score, 6) as overall_score, {GRADE} as grade from scored",
+    "quality_scores": f"{DOCS} select doc_id, {', '.join(f'round({m}, 6) as {m}' for m in WEIGHTS)}, round(overall_score, 6) as overall_score, {GRADE} as grade from scored",
     "readability": f"{DOCS} select doc_id, sentences::bigint as sentences, words::bigint as words, syllables::bigint as syllables, characters::bigint as characters, round(flesch, 6) as flesch, round(ari, 6) as ari, round(readable, 6) as readability from parts",
     "structure_parts": f"{DOCS} select doc_id, headers, lists, paragraphs, tables from parts",
     "formatting_parts": f"{DOCS} select doc_id, round(syntax, 6) as syntax, consistency, artifacts::bigint as artifacts, artifact_score from parts",
