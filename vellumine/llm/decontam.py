@@ -62,7 +62,7 @@ def postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     Each document has one more row with term_id -1, whose position is its word count.
     """
     spark = docs.sparkSession
-    end = spark.createDataFrame([("", -1)], "term string, term_id int")
+    end = spark.range(1).select(F.lit("").alias("term"), F.lit(-1).alias("term_id"))
     known = _small(terms.select("term", "term_id").union(end), n_terms, 64)
     tokens = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.concat(words_of(F.col("text")), F.array(F.lit("")))).alias("position", "term"))
     return staged(tokens.join(known, "term").select(*_KEY, "position", "term_id"), "postings")
