@@ -43,6 +43,21 @@ def test_byte_shards(docs, rows):
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot)) for r in found)
 
 
+def test_op1_query(spark, rows, tmp_path):
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op1_sharding"](spark, str(tmp_path)).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    want = sorted(((i, size(t), zlib.crc32((t or "").encode())) for i, t in rows), key=repr)
+    assert sorted(((r.doc_id, r.size, r.text_crc32) for r in found), key=repr) == want
+    assert {(r.law, r.grown_shard) for r in found} == {("bytes", None)} and {r.shard for r in found} <= set(range(8))
+    for shard in range(8):
+        own = sorted(r.slot for r in found if r.shard == shard)
+        assert own == list(range(len(own)))
+    largest = max(size(t) for _, t in rows)
+    total = sum(size(t) for _, t in rows)
+    assert all(abs(sum(r.size for r in found if r.shard == k) - total / 8) <= largest for k in range(8))
+
+
 def test_shards_of_equal_rows_and_none(spark, nothing):
     same = spark.createDataFrame([(1, "x" * 9)] * 80, "doc_id long, text string")
     found = sharding.byte_shards(same, 8).collect()
