@@ -38,6 +38,45 @@ def test_fan_out_counts(docs):
         pipeline.extract(docs, r, extractor="unknown")
 
 
+def counted(spark, step):
+    """``step`` and an accumulator of how often it was called."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def call(text):
+        calls.add(1)
+        return text
+
+    return lambda t: call(step(t)), calls
+
+
+def test_equal_extractions_are_worked_on_once(spark, docs):
+    r = registry.Registry().add_extractor("plain", registry.identity, ".txt").add_extractor("same", registry.identity, ".txt").add_extractor("upper", F.upper, ".txt").add_extractor("absent", None, ".txt")
+    step, calls = counted(spark, registry.identity)
+    r.add_cleaner("None", step).add_converter("PassThrough", registry.identity)
+    got = sorted((x.doc_id, x.extractor, x.ext_ord, x.content) for x in pipeline.by_path(pipeline.converted(docs, r)).collect())
+    want = pipeline.to_markdown(pipeline.clean(pipeline.extract(docs, r), r), r)
+    assert calls.value == 5  # of three texts; a blank one is the same in capitals
+    assert got == sorted((x.doc_id, x.extractor, x.ext_ord, x.content) for x in want.collect()) and len(got) == 9
+
+
+def test_fan_out_of_the_default_registry(spark, tmp_path):
+    texts = ["Some \"text\" here-\n and more.\r\n\r\n* item", "TITLE\n\nBody\tof  it.", "", " ", "a\n\n\n\nb &amp; <b>c</b>", "line one\nline\nline\nline\ngoes on", "| a | b |\n| 1 | 2 |", "IBM and ÄIBM, NASA\x0bx", "# A\n\n1. b", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    r = registry.default_registry()
+    done = pipeline.to_markdown(pipeline.clean(pipeline.extract(spark.read.parquet(f"{tmp_path}/documents.parquet"), r), r), r)
+    want = done.groupBy("extractor", "cleaner", "converter", "status").agg(F.count("*"), F.sum("output_length"), F.sum(F.col("markdown_elements")["headers"]))
+    got = queries.pipeline_fan_out(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 45
+
+
+def test_cuts_at_line_ends_are_looked_for_first(spark):
+    texts = ["foo-\nbar", "a-b", "to- \n Day", "x" * 30000, "-\n", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    assert [x.c for x in df.select(clean.join_hyphenated(t).alias("c")).collect()] == ["foobar", "a-b", "toDay", "x" * 30000, "-\n", None]
+
+
 def test_unrouted_and_readers(docs):
     r = registry.default_registry()
     assert pipeline.extract(docs, r, ".bin").count() == 0

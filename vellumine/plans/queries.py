@@ -163,9 +163,9 @@ def small_registry() -> registry.Registry:
 @query
 def pipeline_fan_out(spark: SparkSession, d: str) -> DataFrame:
     """Combinations, mean lengths and element counts of the full cross product."""
-    r = registry.default_registry()
-    done = pipeline.to_markdown(pipeline.clean(pipeline.extract(documents(spark, d), r), r), r)
-    return done.groupBy("extractor", "cleaner", "converter", "status").agg(F.count("*").alias("n"), F.sum("output_length").alias("output_length"), F.sum(F.col("markdown_elements")["headers"]).alias("headers"))
+    texts = pipeline.converted(documents(spark, d), registry.default_registry())
+    done = pipeline.by_path(texts.select("paths", "output_length", F.col("markdown_elements")["headers"].alias("headers")))
+    return done.groupBy("extractor", "cleaner", "converter", "status").agg(F.count("*").alias("n"), F.sum("output_length").alias("output_length"), F.sum("headers").alias("headers"))
 
 
 @query
