@@ -70,6 +70,18 @@ def test_fan_out_of_the_default_registry(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 45
 
 
+def test_comparison_scores_once(spark, docs):
+    r = small_registry()
+    step, calls = counted(spark, registry.identity)
+    r.cleaners = []
+    r.add_cleaner("None", step)
+    quality = pipeline.process(docs, r)
+    got = sorted(map(tuple, pipeline.comparison(quality).select("doc_id", "extractor", "ext_ord", "best_combination", "best_score", "grade").collect()))
+    assert calls.value == pipeline.completed(pipeline.extract(docs, r)).select("doc_id", "content").distinct().count()
+    top = {(x.doc_id, x.extractor): x for x in pipeline.best(quality, "doc_id", "extractor").collect()}
+    assert got == sorted((d, e, o, *((b.best_combination, b.best_score, b.grade) if (b := top.get((d, e))) else (None, 0.0, None))) for d, e, o in {(x.doc_id, x.extractor, x.ext_ord) for x in quality.collect()})
+
+
 def test_cuts_at_line_ends_are_looked_for_first(spark):
     texts = ["foo-\nbar", "a-b", "to- \n Day", "x" * 30000, "-\n", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
