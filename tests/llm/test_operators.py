@@ -314,6 +314,37 @@ def test_windows_agree_with_the_whole_text():
         assert pii.tagged_spans([text, "x", "", text], reader)[::3] == [cut, cut]  # from the text alone
 
 
+def test_spans_do_not_depend_on_neighbours():
+    """Where two windows meet, the window that a character is more central in counts, whatever is tagged beside the text."""
+    reader, rng = pii.default_tagger().reader(), np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcde  @.0123-+()="), 590)) for _ in range(20)]  # the second window is as short as that of "x"
+    beside = pii.tagged_spans(["x", *texts], reader)[1:]
+    assert sum(map(len, beside)) > 100
+    assert [sorted(s) for s in beside] == [sorted(pii.tagged_spans([t], reader)[0]) for t in texts]
+
+
+def test_emissions_are_those_of_training():
+    model, rng = pii.default_tagger(), np.random.default_rng(1)
+    chars = rng.integers(0, pii._CLASSES, (70, 3))
+    x = model.w["E"][chars.T]
+    want = np.concatenate([model._lstm(x, way)[0] for way in "fb"], 2) @ model.w["V"] + model.w["c"]
+    assert np.abs(model.reader().emissions(chars).transpose(1, 0, 2) - want).max() < 1e-3
+
+
+def test_scores_of_a_span_are_asked_for_only_where_it_may_stand():
+    model = pii.default_tagger()
+    reader, asked = model.reader(), []
+    text = "plain words of a text, and some more of them. " * 20 + "mail bob (at) example.org today, " + "and plain words after it " * 20
+    e = reader.emissions(pii.classes(text)[:, None].astype(np.intp))[:, 0]
+
+    def scores(row, a, b):
+        asked.append(b - a)
+        return e[a:b]
+
+    assert sorted(reader.search([reader.gains(e)], scores)[0]) == sorted(slow_path(e.astype(float), model))
+    assert 0 < sum(asked) < 0.1 * len(text)
+
+
 def test_op4_query(spark, rows, tmp_path):
     more = [(1000 + k, marked(*m)[0]) for k, m in enumerate(MARKED)] + [(2000, "mail a.b@c.org, card 4111 1111 1111 1111 or +1 (555) 555-0100 from 10.0.0.1")]
     spark.createDataFrame([*rows, *more], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")

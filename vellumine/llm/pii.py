@@ -19,7 +19,7 @@ are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -288,67 +288,98 @@ _SEARCHED = 1 << 15
 
 
 class Reader:
-    """A tagger's weights laid out for reading: single precision, one table look-up for each character and way."""
+    """A tagger's weights laid out for reading, in single precision.
+
+    Each way's step is one product: outputs, embedding and a constant one stand beside each other.
+    """
 
     def __init__(self, model: Tagger):
         w = model.w
         halves = np.repeat([0.5, 0.5, 0.5, 1.0], UNITS)  # twice a sigmoid is a tanh of half its argument, plus one
-        single = lambda a: np.ascontiguousarray(a, np.float32)
-        self.into = {way: single(((w["E"] @ w["W" + way] + w["b" + way]) * halves).T) for way in "fb"}
-        self.again = {way: single((w["U" + way] * halves).T / 2) for way in "fb"}  # outputs stay doubled
-        self.out, self.bias = single(w["V"] / 2), single(w["c"])
+        single = lambda *blocks: np.ascontiguousarray(np.hstack(blocks), np.float32)
+        again = {way: (w["U" + way] * halves).T / 2 for way in "fb"}  # outputs stay doubled
+        into = {way: np.vstack([w["W" + way], w["b" + way]]).T * halves[:, None] for way in "fb"}
+        self.embedding = np.vstack([w["E"].T, np.ones(_CLASSES)]).astype(np.float32)
+        self.step = {"f": single(again["f"], into["f"]), "b": single(into["b"], again["b"])}
+        self.out = {"f": single(w["V"][:UNITS].T / 2), "b": single(w["c"][:, None], w["V"][UNITS:].T / 2)}
         self.between = model.between()
         least, most, outside = w["T"][_ALLOWED].min(), w["T"][_ALLOWED].max(), w["T"][0, 0]
         self.more = float(most - outside)  # a transition over that between outside tags
         self.slack = float(2 * (outside - least) + self.more)
 
     def emissions(self, chars: np.ndarray) -> np.ndarray:
-        """Scores (time, windows, tags) of character classes (time, windows)."""
+        """Scores (time, windows, tags) of character classes (time, windows); in memory, windows stand last."""
         steps, n = chars.shape
-        h_all = np.empty((steps, 2 * UNITS, n), np.float32)
-        for way, rows in (("f", slice(0, UNITS)), ("b", slice(UNITS, 2 * UNITS))):
-            into, again = self.into[way], self.again[way]
-            h, c, z, x = (np.zeros((k * UNITS, n), np.float32) for k in (1, 1, 4, 4))
-            gates, more = z[: 3 * UNITS], x[:UNITS]
-            for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
-                np.take(into, chars[t], axis=1, out=x, mode="clip")
-                np.matmul(again, h, out=z)
-                z += x
+        own, back = UNITS + EMBED, UNITS + EMBED + 1
+        # row t + 1: forward outputs up to the character before t, embedding of t, one, backward outputs from the one after
+        held = np.empty((steps + 2, back + UNITS, n), np.float32)
+        for t in range(steps):
+            np.take(self.embedding, chars[t], axis=1, out=held[t + 1, UNITS:back], mode="clip")
+        held[1, :UNITS] = held[steps, back:] = 0
+        held[0, own] = 1
+        z, more = np.empty((4 * UNITS, n), np.float32), np.empty((UNITS, n), np.float32)
+        gates, (i, f, o, g) = z[: 3 * UNITS], z.reshape(4, UNITS, n)
+        one, half = np.float32(1), np.float32(0.5)
+        for way, read, write, order in (("f", slice(0, back), slice(0, UNITS), range(1, steps + 1)), ("b", slice(UNITS, None), slice(back, None), range(steps, 0, -1))):
+            step, on, c = self.step[way], 1 if way == "f" else -1, np.zeros((UNITS, n), np.float32)
+            for t in order:
+                np.matmul(step, held[t, read], out=z)
                 np.tanh(z, out=z)
-                gates += np.float32(1)  # twice each gate
-                np.multiply(gates[:UNITS], z[3 * UNITS :], out=more)
-                c *= gates[UNITS : 2 * UNITS]
-                c += more
-                c *= np.float32(0.5)
-                h = h_all[t, rows]
+                np.add(gates, one, out=gates)  # twice each gate
+                np.multiply(i, g, out=more)
+                np.multiply(c, f, out=c)
+                np.add(c, more, out=c)
+                np.multiply(c, half, out=c)
+                h = held[t + on, write]
                 np.tanh(c, out=h)
-                h *= gates[2 * UNITS :]
-        return np.matmul(h_all.transpose(0, 2, 1), self.out) + self.bias
+                np.multiply(h, o, out=h)
+        e = np.matmul(self.out["f"], held[2:, :UNITS])
+        e += np.matmul(self.out["b"], held[:-2, own:])
+        return e.transpose(0, 2, 1)
+
+    def gains(self, e: np.ndarray) -> np.ndarray:
+        """For scores (..., tags), what the best begin and the best inside of any kind gain over outside: (2, ...)."""
+        outside = e[..., 0] - np.float32(self.more)
+        return np.stack([e[..., 1::2].max(-1) - outside, e[..., 2::2].max(-1) - outside])
+
+    def gains_by_kind(self, e: np.ndarray) -> np.ndarray:
+        """For scores (time, tags), what begin and inside of each kind gain over outside: (2, kinds, time)."""
+        e = np.ascontiguousarray(e.T)
+        return (e[1:] - (e[0] - np.float32(self.more))).reshape(-1, 2, e.shape[1]).transpose(1, 0, 2)
 
-    def open_parts(self, e: np.ndarray) -> list[tuple[int, int]]:
-        """The parts of a text, given its scores (time, tags), that a span may stand in.
+    def open_parts(self, gains: np.ndarray) -> list[tuple[int, int]]:
+        """The parts of a text, given its gains (2, time) or (2, kinds, time), that a span may stand in.
 
         A span that stands in the best path gains more over outside tags than transitions can give
         back without it. The most that any span over a character can gain follows from running sums,
         so most characters are outside for certain; a path searched between them is that of the
-        whole text.
+        whole text. Gains of no kind are as if kinds could change within a span, which opens more.
         """
-        e = np.ascontiguousarray(e.T)
-        gain = e[1:] - (e[0] - np.float32(self.more))
-        run = np.cumsum(gain[1::2], 1, np.float64)
-        until = run + np.maximum.accumulate(gain[0::2] - run, 1)  # the best span that ends here
-        after = np.maximum.accumulate(run[:, ::-1], 1)[:, ::-1] - run  # what it can gain by going on
-        open_ = ((until + after).max(0) >= -self.slack).astype(np.int8)
-        edges = np.flatnonzero(np.diff(open_, prepend=0, append=0)).tolist()
+        run = np.cumsum(gains[1], -1, np.float64)
+        until = run + np.maximum.accumulate(gains[0] - run, -1)  # the best span that ends here
+        after = np.maximum.accumulate(run[..., ::-1], -1)[..., ::-1] - run  # what it can gain by going on
+        most = until + after
+        open_ = np.zeros(most.shape[-1] + 2, bool)
+        open_[1:-1] = (most if most.ndim == 1 else most.max(0)) >= -self.slack
+        edges = np.flatnonzero(open_[1:] != open_[:-1]).tolist()
         return list(zip(edges[::2], edges[1::2], strict=True))
 
     def decode(self, texts: list[np.ndarray]) -> list[list[tuple[str, int, int]]]:
         """The spans of the best tag path over each whole text's scores (time, tags)."""
-        found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        parts = sorted(((b - a, row, a) for row, e in enumerate(texts) for a, b in self.open_parts(e)), reverse=True)
+        return self.search([self.gains(e) for e in texts], lambda row, a, b: texts[row][a:b])
+
+    def search(self, gains: list[np.ndarray], scores: Callable[[int, int, int], np.ndarray]) -> list[list[tuple[str, int, int]]]:
+        """``decode``, given each text's gains; ``scores(row, a, b)`` is asked only where a span may stand."""
+        found: list[list[tuple[str, int, int]]] = [[] for _ in gains]
+        parts = []
+        for row, gain in enumerate(gains):
+            for a, b in self.open_parts(gain):
+                e = scores(row, a, b)
+                parts += [(d - c, row, a + c, e[c:d]) for c, d in self.open_parts(self.gains_by_kind(e))]
+        parts.sort(key=lambda p: p[:3], reverse=True)
         while parts:
             n = max(1, min(len(parts), _SEARCHED // parts[0][0]))
-            for (_, row, a), path in zip(parts[:n], self._paths([(texts[row][a : a + size], a == 0, a + size == len(texts[row])) for size, row, a in parts[:n]]), strict=True):
+            for (_, row, a, _), path in zip(parts[:n], self._paths([(e, a == 0, a + size == gains[row].shape[1]) for size, row, a, e in parts[:n]]), strict=True):
                 open_ = None
                 for t, tag in enumerate([*path, 0]):
                     if open_ and tag != open_[0] + 1:
@@ -425,24 +456,39 @@ def default_tagger() -> Tagger:
 def tagged_spans(texts: list[str], reader: Reader, windows: int = 512) -> list[list[tuple[str, int, int]]]:
     """The model's spans of each whole text. Windows of all texts are scored together."""
     codes = [classes(t) for t in texts]
-    scores = [np.empty((len(x), len(TAGS)), np.float32) for x in codes]
+    gains = [np.empty((2, len(x)), np.float32) for x in codes]
+    starts = [range(0, max(1, len(x) - 2 * MARGIN), WINDOW - 2 * MARGIN) for x in codes]
+    held: list[list] = [[None] * len(s) for s in starts]  # scores of each window of each text
+    # of two windows over a character, the one it is more central in
+    border = lambda row, k: starts[row][k] + (MARGIN if k else 0) if k < len(starts[row]) else len(codes[row])
     cuts: dict[int, list[tuple[int, int]]] = {}
     for row, x in enumerate(codes):
-        for at in range(0, max(1, len(x) - 2 * MARGIN), WINDOW - 2 * MARGIN):
-            cuts.setdefault(min(WINDOW, -(-(len(x) - at) // 128) * 128), []).append((row, at))  # padded by its own length alone
+        for k, at in enumerate(starts[row] if len(x) else ()):
+            cuts.setdefault(min(WINDOW, -(-(len(x) - at) // 128) * 128), []).append((row, k))  # padded by its own length alone
     for steps, same in cuts.items():
-        for k in range(0, len(same) if steps else 0, windows):
-            part = same[k : k + windows]
+        for first in range(0, len(same), windows):
+            part = same[first : first + windows]
             chars = np.zeros((len(part), steps), np.intp)
-            for own, (row, at) in zip(chars, part, strict=True):
-                x = codes[row][at : at + steps]
+            for own, (row, k) in zip(chars, part, strict=True):
+                x = codes[row][starts[row][k] : starts[row][k] + steps]
                 own[: len(x)] = x
             e = reader.emissions(np.ascontiguousarray(chars.T))
-            for own, (row, at) in zip(e.transpose(1, 0, 2), part, strict=True):
-                # of two windows over a character, the one it is more central in
-                a, n = (MARGIN if at else 0), len(codes[row]) - at
-                scores[row][at + a : at + min(steps, n)] = own[a : min(steps, n)]
-    return reader.decode(scores)
+            for j, (own, (row, k)) in enumerate(zip(np.ascontiguousarray(reader.gains(e).transpose(2, 0, 1)), part, strict=True)):
+                at, a, b = starts[row][k], border(row, k), border(row, k + 1)
+                gains[row][:, a:b] = own[:, a - at : b - at]
+                held[row][k] = e[:, j]
+
+    def scores(row: int, a: int, b: int) -> np.ndarray:
+        out, last = [], len(held[row]) - 1
+        for k in range(min(last, max(0, (a - MARGIN) // starts[row].step)), last + 1):
+            lo, hi = max(a, border(row, k)), min(b, border(row, k + 1))
+            if lo < hi:
+                out.append(held[row][k][lo - starts[row][k] : hi - starts[row][k]])
+            if hi == b:
+                break
+        return np.concatenate(out)
+
+    return reader.search(gains, scores)
 
 
 _SPELLED_AT = re.compile(r"\s*[(\[{]\s*(?:at|@)\s*[)\]}]\s*|\s+at\s+|\s*[@＠]\s*", re.I)
@@ -466,9 +512,9 @@ def plausible(kind: str, text: str) -> bool:
     return len(text) >= 12 and not re.search(r"\s", text)
 
 
-def all_spans(text: str, tagged: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Base spans, and plausible tagged spans, less spaces and marks at their ends, that touch none of them."""
-    base, more = base_spans(text), []
+def all_spans(text: str, tagged: list[tuple[str, int, int]], base: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
+    """Base spans (sought if not given), and plausible tagged spans, less spaces and marks at their ends, that touch none of them."""
+    base, more = base_spans(text) if base is None else base, []
     for kind, a, b in tagged:
         while a < b and text[a] in _EDGE:
             a += 1
@@ -500,7 +546,8 @@ def find_spans(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
             ends = np.cumsum([len(t) for t in texts]) // _TOGETHER
             for some in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
                 for k, tagged in zip(some.tolist(), tagged_spans([texts[k] for k in some], reader), strict=True):
-                    base, every = base_spans(texts[k]), all_spans(texts[k], tagged)
+                    base = base_spans(texts[k])
+                    every = all_spans(texts[k], tagged, base)
                     for n, kind in zip(counts, KINDS, strict=True):
                         n.append(sum(s[0] == kind for s in base))
                     bases.append(join(base))
